@@ -185,3 +185,11 @@ def role_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("role").agg(F.count("*").alias("n_cols"))
 
 
+
+
+def parse_dates(df: DataFrame, name: str, order_by: list[str]) -> Column:
+    """A text column read by the format of its first non-null value; other cells are NULL."""
+    c = column(name)
+    first = df.agg(F.min_by(c, F.when(c.isNotNull(), F.struct(*order_by)))).first()[0]
+    fmt = dates.format_of(first)
+    return fmt.parse(c) if fmt else F.lit(None).cast("timestamp_ntz")

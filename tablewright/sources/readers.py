@@ -133,7 +133,7 @@ def _orient_of(documents: DataFrame) -> str:
 
 
 def _document_rows(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.xxhash64(text).alias("_doc"), F.col(text).alias("_text"))
+    return df.select(F.monotonically_increasing_id().alias("_doc"), F.col(text).alias("_text"))
 
 
 def from_documents(df: DataFrame, text: str, orient: str) -> DataFrame:

@@ -44,8 +44,9 @@ def ingest_folder(
             clean = trim_whitespace(clean)
         start = _stored_rows(spark, target, batch_id)
         numbered = dense_index(clean).withColumn(INDEX, F.col(INDEX) + start)
-        numbered.write.mode("overwrite").parquet(f"{target}/rows/{BATCH}={batch_id}")
-        status = [(batch_id, "ready", start, numbered.count())]
+        folder = f"{target}/rows/{BATCH}={batch_id}"
+        numbered.write.mode("overwrite").parquet(folder)
+        status = [(batch_id, "ready", start, spark.read.parquet(folder).count())]
         spark.createDataFrame(status, STATUS).coalesce(1).write.mode("overwrite").parquet(
             f"{target}/status/{BATCH}={batch_id}"
         )
