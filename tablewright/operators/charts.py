@@ -218,8 +218,12 @@ def funnel(df: DataFrame, stage: str, stages: list[str]) -> DataFrame:
     )
 
 
-def series_for(df: DataFrame, kind: str, x: str, y: str, tie: list[str]) -> DataFrame:
-    """The series of a chart kind that needs only two columns."""
+def series_for(df: DataFrame, kind: str, x: str, y: str, tie: list[str], **options) -> DataFrame:
+    """The series of a chart kind by its name.
+
+    Options: ``series`` splits stacked charts, ``stages`` orders a funnel, ``freq`` sets the candle
+    period, ``bins`` the histogram.
+    """
     if kind in ("pie", "donut", "polarArea"):
         return pie_slices(df, x, y, tie)
     if kind == "radialBar":
@@ -236,14 +240,21 @@ def series_for(df: DataFrame, kind: str, x: str, y: str, tie: list[str]) -> Data
         return pareto(df, x, y)
     if kind == "boxPlot":
         return box_plot(df, x, y)
+    if kind == "candlestick":
+        return candlestick(df, x, y, tie[0], options.get("freq", "D"))
     if kind == "histogram":
-        return histogram(df, y)
+        return histogram(df, y, options.get("bins", 10))
     if kind == "waterfall":
         return waterfall(df, axis_label(df, x), y)
-    if kind in PLAIN_KINDS:
+    if kind in STACKED_KINDS and "series" in options:
+        return stacked(df, x, options["series"], y)
+    if kind == "funnel" and "stages" in options:
+        return funnel(df, x, options["stages"])
+    if kind in PLAIN_KINDS + STACKED_KINDS + ["funnel"]:
         return xy_series(df, x, y, tie)
     raise ValueError(f"unknown chart kind {kind!r}")
 
 
-# Chart kinds that show the plain series.
+# Chart kinds that show the plain series, and those that stack one per column.
 PLAIN_KINDS = ["bar", "h-bar", "line", "area", "scatter", "sunburst"]
+STACKED_KINDS = ["stacked-col", "stacked-bar", "100-stacked-col", "100-stacked-bar"]

@@ -1,11 +1,10 @@
 """Exact order statistics for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task. Here that is allowed only while
-the values still in question fit a stated limit. Larger groups are narrowed first: each round cuts
-the open interval of every wanted rank at approximate quantiles, counts exactly how many values
-fall on and between the cuts, and keeps the one piece that holds the rank. Rounds only aggregate,
-with partial sums on the map side, so a group with a third of all rows costs no more per task than
-any other.
+``percentile`` keeps every distinct value of a group in one task. Here that is allowed only for
+groups of at most ``limit`` rows. Larger groups are narrowed first: each round cuts the interval of
+every wanted rank at approximate quantiles, counts exactly how many values fall on and between the
+cuts, and keeps the one piece that holds the rank. Rounds only aggregate, with partial sums on the
+map side, so a group with a third of all rows costs no task more than any other.
 """
 
 from __future__ import annotations
@@ -27,15 +26,21 @@ def exact_quantiles(
     by: list[str] | None = None,
     limit: int = LIMIT,
 ) -> DataFrame:
-    """Per group: the columns of ``by``, ``n`` and ``quantiles`` (linear interpolation, as ``percentile``)."""
+    """Per group: the columns of ``by``, ``n`` and ``quantiles`` (linear interpolation, as ``percentile``).
+
+    Rows without a value or a group are left out.
+    """
     by = by or []
-    rows = df.select(*by, value.cast("double").alias("_v")).where("_v is not null")
+    rows = df.select(*by, value.cast("double").alias("_v")).na.drop()
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= limit:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_v", wanted).alias("quantiles"))
-    return _narrowed(rows, probs, by, limit)
+    if not by:
+        return _narrowed(rows, probs, by, limit) if (sizes.first()[0] > limit) else _direct(rows, probs, by)
+    # At most one row per ``limit`` rows of the table.
+    large = cut(sizes.where(F.col("n") > limit).select(*by))
+    if large.isEmpty():
+        return _direct(rows, probs, by)
+    small = _direct(rows.join(large, by, "left_anti"), probs, by)
+    return small.unionByName(_narrowed(rows.join(large, by, "left_semi"), probs, by, limit))
 
 
 def exact_median(df: DataFrame, value: Column, limit: int = LIMIT) -> DataFrame:
@@ -44,13 +49,17 @@ def exact_median(df: DataFrame, value: Column, limit: int = LIMIT) -> DataFrame:
     return found.select("n", F.element_at("quantiles", 1).alias("median"))
 
 
+def _direct(rows: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_v", wanted).alias("quantiles"))
+
+
 def _narrowed(rows: DataFrame, probs: list[float], by: list[str], limit: int) -> DataFrame:
     low = [F.floor((F.col("n") - 1) * F.lit(float(p))) for p in probs]
     high = [F.ceil((F.col("n") - 1) * F.lit(float(p))) for p in probs]
-    sizes = cut(
-        rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
-    # One row per group and wanted rank: the value lies in [_lo, _hi], _below values lie under _lo.
+    sizes = cut(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    # One row per group and wanted rank: its value lies in [_lo, _hi], _below values lie under _lo
+    # and _inside values in between.
     state = sizes.select(
         *by,
         F.explode(F.array_distinct(F.array(*low, *high))).alias("_rank"),
@@ -59,86 +68,67 @@ def _narrowed(rows: DataFrame, probs: list[float], by: list[str], limit: int) ->
         F.lit(0).cast("long").alias("_below"),
         F.col("n").alias("_inside"),
     )
-    keys = [*by, "_rank"]
-    while True:
-        busy = state.where((F.col("_inside") > limit) & (F.col("_lo") < F.col("_hi")))
-        if busy.isEmpty():
-            break
-        state = cut(_narrow(rows, state, by, keys, limit))
-    return _finish(rows, state, sizes, probs, by, keys)
+    is_open = (F.col("_inside") > limit) & (F.col("_lo") < F.col("_hi"))
+    while not state.where(is_open).isEmpty():
+        narrower = _narrow(rows, state.where(is_open), by)
+        state = cut(state.where(~is_open).unionByName(narrower))
+    return _interpolate(_select_rest(rows, state, by), sizes, probs, by)
 
 
-def _inside(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
-    """Rows in the open interval of each wanted rank.
+def _inside(rows: DataFrame, state: DataFrame, by: list[str], *extra: str) -> DataFrame:
+    """Rows within the interval of each wanted rank, with the rank and the ``extra`` state columns.
 
-    A group has at most two ranks per probability, so the join multiplies rows by a small constant.
-    With no grouping the state is a handful of rows. No hint is given: Spark broadcasts the state
-    when it is small and splits skewed partitions when it is not.
+    A group has at most two ranks per probability, so a row is repeated a few times at most. With
+    groups this is a join without a hint: Spark broadcasts the state when it is small and splits
+    skewed partitions when it is not. Without groups the handful of intervals is a literal.
     """
-    within = F.col("_v").between(F.col("_lo"), F.col("_hi"))
     if by:
-        return rows.join(state, by).where(within)
-    # Without groups the handful of intervals becomes an array literal instead of a join.
-    intervals = state.collect()
-    packed = F.array(
-        *[
-            F.struct(
-                F.lit(r["_rank"]).alias("_rank"),
-                F.lit(r["_lo"]).alias("_lo"),
-                F.lit(r["_hi"]).alias("_hi"),
-                F.lit(r["_below"]).alias("_below"),
-                F.lit(r["_inside"]).alias("_inside"),
-            )
-            for r in intervals
-        ]
-    ).cast("array<struct<_rank:bigint,_lo:double,_hi:double,_below:bigint,_inside:bigint>>")
-    hits = F.filter(packed, lambda s: F.col("_v").between(s["_lo"], s["_hi"]))
-    return rows.select("_v", F.explode(hits).alias("_s")).select("_v", "_s.*")
-
-
-def _narrow(rows: DataFrame, state: DataFrame, by: list[str], keys: list[str], limit: int) -> DataFrame:
-    is_open = (F.col("_inside") > limit) & (F.col("_lo") < F.col("_hi"))
-    settled = state.where(~is_open)
-    opened = state.where(is_open)
+        keep = [*by, "_rank", "_v", *extra]
+        return rows.join(state, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).select(*keep)
+    fields = ["_rank", "_lo", "_hi", *extra]
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
+    listed = [F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in state.select(*fields).collect()]
+    shape = ",".join(f"{f}:{kinds[f]}" for f in fields)
+    intervals = F.array(*listed).cast(f"array<struct<{shape}>>")
+    hits = F.filter(intervals, lambda s: F.col("_v").between(s["_lo"], s["_hi"]))
+    return rows.select("_v", F.explode(hits).alias("_s")).select("_s._rank", "_v", *[f"_s.{e}" for e in extra])
+
+
+def _narrow(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """One round: the piece of each interval that holds its rank."""
+    keys = [*by, "_rank"]
     steps = F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)])
     cuts = (
-        _inside(rows, opened, by)
+        _inside(rows, state, by)
         .groupBy(*keys)
         .agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", steps, F.lit(ACCURACY)))).alias("_cuts"))
     )
-    cut_state = cut(opened.join(cuts, keys))
-    if by:
-        placed = rows.join(cut_state, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    else:
-        lookup = {r["_rank"]: r["_cuts"] for r in cut_state.select("_rank", "_cuts").collect()}
-        table = F.create_map(
-            *[x for rank, at in lookup.items() for x in (F.lit(rank), F.array(*[F.lit(v) for v in at]))]
-        )
-        placed = _inside(rows, opened, by).withColumn("_cuts", table[F.col("_rank")])
-    # Piece 2i is the cut value i itself, piece 2i+1 the open gap after it (-1: before the first).
+    state = cut(state.join(cuts, keys))
+    # Piece 2i is the cut value i itself, piece 2i + 1 the open gap after it, piece -1 what lies
+    # before the first cut; a value that fills the interval settles on its own piece.
     reached = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
-    on_cut = F.array_contains(F.col("_cuts"), F.col("_v"))
-    piece = F.when(on_cut, 2 * (reached - 1)).otherwise(2 * (reached - 1) + 1)
+    piece = 2 * (reached - 1) + F.when(F.array_contains("_cuts", F.col("_v")), 0).otherwise(1)
     pieces = (
-        placed.groupBy(*keys, piece.alias("_piece"))
+        _inside(rows, state, by, "_cuts")
+        .groupBy(*keys, piece.alias("_piece"))
         .agg(F.count("*").alias("_count"), F.min("_v").alias("_first"), F.max("_v").alias("_last"))
         .groupBy(*keys)
         # At most 2 * CUTS + 2 pieces per rank.
         .agg(F.array_sort(F.collect_list(F.struct("_piece", "_count", "_first", "_last"))).alias("_pieces"))
     )
-    before = F.aggregate(
+    earlier = F.aggregate(
         F.filter("_pieces", lambda p: p["_piece"] < F.col("_pick._piece")),
         F.lit(0).cast("long"),
         lambda total, p: total + p["_count"],
     )
-    return settled.unionByName(
-        opened.join(pieces, keys)
+    return (
+        state.join(pieces, keys)
         .withColumn("_pick", _piece_of_rank())
         .select(
             *keys,
             F.col("_pick._first").alias("_lo"),
             F.col("_pick._last").alias("_hi"),
-            (F.col("_below") + before).alias("_below"),
+            (F.col("_below") + earlier).alias("_below"),
             F.col("_pick._count").alias("_inside"),
         )
     )
@@ -159,27 +149,28 @@ def _piece_of_rank() -> Column:
     return F.aggregate("_pieces", start, step, lambda acc: acc["pick"])
 
 
-def _finish(
-    rows: DataFrame, state: DataFrame, sizes: DataFrame, probs: list[float], by: list[str], keys: list[str]
-) -> DataFrame:
-    """Ranks whose interval is one value are done; the rest select within at most ``limit`` values."""
+def _select_rest(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, _rank, _at)``: a one-value interval is the answer; the rest hold at most ``limit`` values."""
+    keys = [*by, "_rank"]
     done = state.where(F.col("_lo") == F.col("_hi")).select(*keys, F.col("_lo").alias("_at"))
-    rest = state.where(F.col("_lo") < F.col("_hi"))
     picked = (
-        _inside(rows, rest, by)
+        _inside(rows, state.where(F.col("_lo") < F.col("_hi")), by, "_below")
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("_v")).alias("_vs"), F.first("_below").alias("_below"))
         .select(*keys, F.get("_vs", (F.col("_rank") - F.col("_below")).cast("int")).alias("_at"))
     )
-    ranks = done.unionByName(picked).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_at"))).alias("_at"))
-    joined = sizes.join(ranks, by) if by else _attach_one_row(sizes, ranks)
+    return done.unionByName(picked)
+
+
+def _interpolate(ranks: DataFrame, sizes: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    found = F.map_from_entries(F.collect_list(F.struct("_rank", "_at"))).alias("_at")
+    if by:
+        joined = sizes.join(ranks.groupBy(*by).agg(found), by)
+    else:
+        joined = sizes.withColumn("_at", ranks.agg(found).scalar())
     out = []
     for p in probs:
         spot = (F.col("n") - 1) * F.lit(float(p))
         a, b = F.col("_at")[F.floor(spot)], F.col("_at")[F.ceil(spot)]
         out.append(a + (b - a) * (spot - F.floor(spot)))
     return joined.select(*by, "n", F.array(*out).alias("quantiles"))
-
-
-def _attach_one_row(sizes: DataFrame, ranks: DataFrame) -> DataFrame:
-    return sizes.withColumn("_at", ranks.select("_at").scalar())

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.session import cut
 
 INDEX = "row_index"
+BROADCAST_FILES = 200_000  # a path and an offset each, some 40 MB
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the place in the partition in its low 33 bits
 
 
@@ -49,17 +50,17 @@ def dense_index(df: DataFrame, order_by: list | None = None, name: str = INDEX)
 
 
 def file_index(df: DataFrame, name: str = INDEX) -> DataFrame:
-    """Rows numbered in file order, for a table read from Parquet files.
+    """Rows numbered in file order, for an unfiltered table read from Parquet files.
 
-    Uses the row position that the scan itself knows, so the data is not shuffled at all: only one
-    row per file is aggregated. The offsets join carries no broadcast hint, as the number of files
-    has no bound; Spark broadcasts it when it is small.
+    Uses the row position that the scan itself knows, so the data is not shuffled: only one row per
+    file is aggregated, and those rows are broadcast while they are few enough.
     """
     tagged = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sizes = tagged.groupBy("_file").agg((F.max("_row") + 1).alias("_size"))
-    offsets = running_total(sizes, ["_file"], "_size", "_end").select(
-        "_file", (F.col("_end") - F.col("_size")).alias("_before")
-    )
+    ended = running_total(sizes, ["_file"], "_size", "_end")
+    offsets = ended.select("_file", (F.col("_end") - F.col("_size")).alias("_before"))
+    if ended.count() <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     return tagged.join(offsets, "_file").select((F.col("_before") + F.col("_row")).alias(name), *df.columns)
 
 

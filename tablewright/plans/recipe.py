@@ -14,7 +14,8 @@ def _sort(df, a):
 
 
 def _chart(df, a):
-    return charts.series_for(df, a.get("chartType", "bar"), _name(df, a["xCol"]), _name(df, a["yCol"]), a.get("tie", [INDEX]))
+    x, y = _name(df, a["xCol"]), _name(df, a["yCol"])
+    return charts.series_for(df, a.get("chartType", "bar"), x, y, a.get("tie", [INDEX]), **a.get("options", {}))
 
 
 def _name(df: DataFrame, given) -> str:

@@ -132,50 +132,47 @@ def _orient_of(documents: DataFrame) -> str:
     raise ValueError("cannot read this JSON structure; name its orient")
 
 
-def _document_rows(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("_doc"), F.col(text).alias("_text"))
-
-
 def from_documents(df: DataFrame, text: str, orient: str) -> DataFrame:
     """Rows of many JSON documents of one layout; cells are text, nested cells stay JSON text.
 
     Column names are the union over all documents. Documents are exploded, so many of them spread
-    over the cluster.
+    over the cluster. Layouts that hold whole rows need no shuffle; layouts that hold whole columns
+    are regrouped by document and row.
     """
-    docs = _document_rows(df, text)
+    cells, names = "map<string,string>", "array<string>"
+    docs = df.select(F.monotonically_increasing_id().alias("_doc"), F.col(text).alias("_text"))
     if orient == "records":
-        cells = docs.select("_doc", F.posexplode(F.from_json("_text", "array<string>")).alias("_row", "_obj")).select(
-            "_doc", F.col("_row").cast("string").alias("_row"), F.explode(F.from_json("_obj", "map<string,string>")).alias("_col", "_cell")
-        )
-    elif orient in ("columns", "index"):
-        outer = docs.select("_doc", F.explode(F.from_json("_text", "map<string,string>")).alias("_a", "_inner"))
-        pairs = outer.select("_doc", "_a", F.explode(F.from_json("_inner", "map<string,string>")).alias("_b", "_cell"))
-        row, col = ("_b", "_a") if orient == "columns" else ("_a", "_b")
-        cells = pairs.select("_doc", F.col(row).alias("_row"), F.col(col).alias("_col"), "_cell")
-    elif orient == "lists":
-        outer = docs.select("_doc", F.explode(F.from_json("_text", "map<string,string>")).alias("_col", "_inner"))
-        cells = outer.select(
-            "_doc", "_col", F.posexplode(F.from_json("_inner", "array<string>")).alias("_row", "_cell")
-        ).withColumn("_row", F.col("_row").cast("string"))
-    elif orient in ("split", "values"):
-        if orient == "split":
-            parts = F.from_json("_text", "struct<columns:array<string>,data:array<string>>")
-            rows = docs.select("_doc", parts.alias("_p")).select("_doc", F.col("_p.columns").alias("_names"), F.posexplode("_p.data").alias("_row", "_vals"))
-        else:
-            rows = docs.select("_doc", F.lit(None).cast("array<string>").alias("_names"), F.posexplode(F.from_json("_text", "array<string>")).alias("_row", "_vals"))
-        cells = rows.select(
-            "_doc",
-            F.col("_row").cast("string").alias("_row"),
-            "_names",
-            F.posexplode(F.from_json("_vals", "array<string>")).alias("_at", "_cell"),
-        ).select("_doc", "_row", F.coalesce(F.get("_names", F.col("_at")), F.col("_at").cast("string")).alias("_col"), "_cell")
-    else:
+        return _wide(docs.select(F.explode(F.from_json("_text", names)).alias("_r")).select(F.from_json("_r", cells).alias("_r")))
+    if orient == "index":
+        rows = docs.select(F.explode(F.from_json("_text", cells)).alias("_key", "_r"))
+        return _wide(rows.select(F.from_json("_r", cells).alias("_r")))
+    if orient == "values":
+        rows = docs.select(F.explode(F.from_json("_text", names)).alias("_r")).select(F.from_json("_r", names).alias("_r"))
+        labels = F.transform(F.sequence(F.lit(0), F.size("_r") - 1), lambda i: i.cast("string"))
+        return _wide(rows.where(F.size("_r") > 0).select(F.map_from_arrays(labels, "_r").alias("_r")))
+    if orient == "split":
+        parts = F.from_json("_text", "struct<columns:array<string>,data:array<string>>")
+        rows = docs.select(parts.alias("_p")).select(F.col("_p.columns").alias("_names"), F.explode("_p.data").alias("_r"))
+        return _wide(rows.select(F.map_from_arrays("_names", F.from_json("_r", names)).alias("_r")))
+    if orient not in ("columns", "lists"):
         raise ValueError(f"orient must be one of {', '.join(ORIENTS)}")
-    names = [r[0] for r in cells.select("_col").distinct().orderBy("_col").collect()]
+    outer = docs.select("_doc", F.explode(F.from_json("_text", cells)).alias("_col", "_inner"))
+    if orient == "columns":
+        spread = outer.select("_doc", "_col", F.explode(F.from_json("_inner", cells)).alias("_row", "_cell"))
+    else:
+        spread = outer.select("_doc", "_col", F.posexplode(F.from_json("_inner", names)).alias("_row", "_cell"))
+    # One entry per column of the row.
+    entries = F.map_from_entries(F.collect_list(F.struct("_col", "_cell")))
+    return _wide(spread.groupBy("_doc", "_row").agg(entries.alias("_r")))
+
+
+def _wide(rows: DataFrame) -> DataFrame:
+    """Maps ``_r`` as columns; the driver sees the distinct keys only."""
+    keys = rows.select(F.explode(F.map_keys("_r")).alias("_k")).distinct().orderBy("_k")
+    names = [r[0] for r in keys.collect()]
     if not names:
         raise ValueError("the JSON holds no rows")
-    wide = cells.groupBy("_doc", "_row").pivot("_col", names).agg(F.first("_cell"))
-    return wide.select(*[column(n) for n in names])
+    return rows.select(*[F.col("_r")[F.lit(n)].alias(n) for n in names])
 
 
 # -- stored rows ----------------------------------------------------------------------------------

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.names import clean_names
 from tablewright.functions.parsing import NUMBER, column, is_text_type, numeric
+from tablewright.session import cut
 
 # The limits of header detection and sheet validity.
 HEADER_SCAN_ROWS = 10
 MIN_HEADER_FILL = 0.35
 MAX_LABEL = 80
 MIN_RAW_ROWS = 2
+NEAR_ROWS = 1000  # where a header is looked for first
 MIN_COLUMNS = 2
 SHEET_TAG = "_sheet"
 
@@ -54,22 +56,35 @@ def _width(grid: DataFrame) -> int:
 
 
 def column_counts(grid: DataFrame) -> DataFrame:
-    """``(sheet, raw_rows, used)``: rows per sheet and, per position, the number of non-null cells."""
+    """``(sheet, raw_rows, used, filled, filled_near)`` per sheet, in one aggregate.
+
+    ``used`` counts the non-null cells per position; ``filled`` the rows that hold anything, and
+    ``filled_near`` those among the first rows of the sheet.
+    """
     width = _width(grid)
-    used = F.array(*[F.count(F.get("cells", F.lit(i))) for i in range(width)]) if width else F.array().cast("array<bigint>")
-    return grid.groupBy("sheet").agg(F.count("*").alias("raw_rows"), used.alias("used"))
+    used = F.array(*[F.count(F.get("cells", F.lit(i))) for i in range(width)]).cast("array<bigint>")
+    is_filled = F.exists("cells", lambda c: c.isNotNull())
+    return grid.groupBy("sheet").agg(
+        F.count("*").alias("raw_rows"),
+        used.alias("used"),
+        F.count_if(is_filled).alias("filled"),
+        F.count_if(is_filled & (F.col("row_idx") < NEAR_ROWS)).alias("filled_near"),
+    )
 
 
 def header_rows(grid: DataFrame) -> DataFrame:
     """``(sheet, header_idx)``: the first of the first 10 filled rows with enough labels, else the first.
 
-    Labels are counted against the columns that hold anything. Only 10 rows per sheet survive the
-    rank filter, which Spark applies before the shuffle, so a huge sheet is not moved to one task.
+    Labels are counted against the columns that hold anything. If every sheet shows 10 filled rows
+    (or all it has) near its start, only that part is ranked. Otherwise all rows are, and Spark
+    applies the rank limit before the shuffle, so a huge sheet is not moved to one task.
     """
-    raw = column_counts(grid).where(F.col("raw_rows") >= MIN_RAW_ROWS)
-    widths = raw.select("sheet", F.size(F.filter("used", lambda n: n > 0)).alias("n_cols"))
+    counts = cut(column_counts(grid)).where(F.col("raw_rows") >= MIN_RAW_ROWS)
+    widths = counts.select("sheet", F.size(F.filter("used", lambda n: n > 0)).alias("n_cols"))
+    far = counts.where((F.col("filled_near") < HEADER_SCAN_ROWS) & (F.col("filled_near") < F.col("filled")))
+    near = grid.where(F.col("row_idx") < NEAR_ROWS) if far.isEmpty() else grid
     place = F.row_number().over(Window.partitionBy("sheet").orderBy("row_idx"))
-    first_rows = _filled(grid).withColumn("_place", place).where(F.col("_place") <= HEADER_SCAN_ROWS)
+    first_rows = _filled(near).withColumn("_place", place).where(F.col("_place") <= HEADER_SCAN_ROWS)
     labels = F.size(F.filter("cells", is_label))
     return (
         first_rows.join(widths, "sheet")

@@ -18,8 +18,8 @@ def _document_cell(df: DataFrame, name: str) -> Column:
     dtype, c = df.schema[name].dataType, column(name)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.round(c, DOCUMENT_DECIMALS))
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.date_format(c, DOCUMENT_TIME)
+    if isinstance(dtype, T.DateType):
+        return c.cast("timestamp_ntz")
     return c
 
 
@@ -28,7 +28,8 @@ def row_documents(df: DataFrame, index: str = INDEX) -> DataFrame:
     if len(set(df.columns)) != len(df.columns):
         raise ValueError("column names must be unique")
     cells = [_document_cell(df, c).alias(c) for c in df.columns if c != index]
-    return df.select(index, F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("data"))
+    form = {"ignoreNullFields": "false", "timestampFormat": DOCUMENT_TIME, "timestampNTZFormat": DOCUMENT_TIME}
+    return df.select(index, F.to_json(F.struct(*cells), form).alias("data"))
 
 
 def delimited_lines(df: DataFrame, columns: list[str]) -> Column:
