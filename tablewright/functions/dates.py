@@ -69,6 +69,9 @@ def _formats() -> list[DateFormat]:
 
 
 FORMATS = _formats()
+SHORTEST = 6  # as in 2024-1
+# What every text in any of the formats starts with.
+SHAPE = "^(?:" + "|".join(dict.fromkeys(pattern for _, pattern, _ in DATE_LAYOUTS)) + ")"
 
 
 def format_of(sample: str | None) -> DateFormat | None:

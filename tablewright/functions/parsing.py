@@ -31,7 +31,8 @@ def currency(text: Column) -> Column:
 
 def prefix(text: Column) -> Column:
     """Leading number of a text (``12abc`` gives 12), else NULL."""
-    return F.regexp_extract(text, PREFIX, 1).try_cast("double")
+    # Blank means no match; a NULL is cheaper to cast than a blank, which fails by an exception.
+    return F.nullif(F.regexp_extract(text, PREFIX, 1), F.lit("")).try_cast("double")
 
 
 def chart_value(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import names
 from tablewright.functions.formatting import safe_scalar
-from tablewright.functions.parsing import column, currency, double_of, prefix, present
+from tablewright.functions.parsing import column, currency, double_of, is_text_type, prefix, present
 from tablewright.operators.quantiles import exact_median
 from tablewright.operators.rowindex import INDEX
 
@@ -47,7 +47,9 @@ def column_function(df: DataFrame, fn: str, name: str) -> DataFrame:
         raise ValueError(f"supported functions: {', '.join(FUNCTIONS)}")
     if name not in df.columns:
         raise ValueError(f"column {name!r} not found")
-    value = finite(double_of(df, name, currency))
+    value = double_of(df, name, currency)
+    if not is_text_type(df.schema[name].dataType):
+        value = finite(value)
     if fn == "MEDIAN":
         found = exact_median(df, value).select(F.col("median").alias("_r"))
     else:

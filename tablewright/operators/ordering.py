@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.formatting import safe_scalar
 from tablewright.functions.parsing import column, double_of, is_number_type, is_text_type, prefix, present
-from tablewright.operators.rowindex import INDEX, row_count
+from tablewright.operators.rowindex import INDEX, dense_index, row_count
 
 # Fixed values of paging and top lists.
 PAGE_SIZE = 100
@@ -18,21 +18,37 @@ TOP_NUMBERS = 3
 PREVIEW_ROWS = 5
 
 
-def mixed_key(df: DataFrame, name: str, ascending: bool = True) -> list[Column]:
-    """Sort keys of a mixed column: leading numbers by value first, then text without regard to case."""
+SORT_KEYS = ["_number", "_text"]
+
+
+def with_mixed_keys(df: DataFrame, name: str) -> DataFrame:
+    """Adds the sort keys of a mixed column: its leading number, else its text without regard to case.
+
+    As columns they are computed once, however often the sort samples, shuffles and compares them.
+    """
     c = column(name)
     if is_number_type(df.schema[name].dataType):
-        number, text = c.cast("double"), F.lit(None).cast("string")
-    else:
-        number, text = prefix(c.cast("string")), F.lower(c.cast("string"))
-    keys = [number, F.when(number.isNull(), text)]
-    return [k.asc_nulls_last() if ascending else k.desc_nulls_last() for k in keys]
+        return df.withColumns({"_number": c.cast("double"), "_text": F.lit(None).cast("string")})
+    keyed = df.withColumn("_number", prefix(c.cast("string")))
+    return keyed.withColumn("_text", F.when(F.col("_number").isNull(), F.lower(c.cast("string"))))
+
+
+def mixed_order(ascending: bool = True) -> list[Column]:
+    """Numbers first, then text, missing cells last."""
+    return [F.asc_nulls_last(k) if ascending else F.desc_nulls_last(k) for k in SORT_KEYS]
 
 
 def sort_rows(df: DataFrame, name: str, ascending: bool = True, tie: list[str] | None = None) -> DataFrame:
     """The whole table in mixed order. The unique tie-break also lets Spark cut a hot value's rows
     across the range partitions of the sort."""
-    return df.orderBy(*mixed_key(df, name, ascending), *[column(t) for t in (tie or [INDEX])])
+    order = [*mixed_order(ascending), *[column(t) for t in (tie or [INDEX])]]
+    return with_mixed_keys(df, name).orderBy(*order).drop(*SORT_KEYS)
+
+
+def sorted_index(df: DataFrame, name: str, ascending: bool, tie: list[str], index: str = INDEX) -> DataFrame:
+    """The table with ``index`` numbering it in mixed order."""
+    order = [*mixed_order(ascending), *[column(t) for t in tie]]
+    return dense_index(with_mixed_keys(df, name), order, index).drop(*SORT_KEYS)
 
 
 def page(df: DataFrame, number: int = 1, size: int = PAGE_SIZE, index: str = INDEX) -> DataFrame:

@@ -1,14 +1,15 @@
 """Column roles from the data: numeric, date, categorical, text, nested or empty.
 
-Two scans at most. The first counts parsable numbers, estimates distinct values and picks a
-representative value per text column; the second runs only for text columns that are not numeric
-and counts dates by one chosen format, and distinct values where the estimate allows the column to
-be categorical. Columns whose Spark type already decides the role cost one counter each.
+The first scan counts values, parsable numbers and date-like texts. Date-like columns are read again
+to choose a format and count by it, and the other non-numeric texts to count distinct values. On
+large tables that last count is screened by a sample of the value space, so a column of nearly
+unique texts is never shuffled. Columns whose Spark type decides the role cost one counter each.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,12 @@ DATE_SHARE = 0.6
 CATEGORY_FLOOR = 50
 CATEGORY_SHARE = 0.3
 
-# The estimate decides alone only where it is this many times over the limit (7 standard errors).
-SCREEN_ERROR = 0.02
-SCREEN_MARGIN = 1.15
+# Columns with more rows are screened first: of every 2**k hash values one is kept, so that a column
+# exactly at the category limit keeps about SCREEN_VALUES values (0.4% standard error). The screen
+# alone rejects a column only beyond SCREEN_MARGIN, over 20 standard errors above the limit.
+SCREEN_ROWS = 1_000_000
+SCREEN_VALUES = 65_536
+SCREEN_MARGIN = 1.1
 
 ROLES = ["numeric", "date", "categorical", "text", "nested", "empty"]
 PROFILE_SCHEMA = (
@@ -77,7 +81,7 @@ def category_limit(n: int) -> float:
 
 
 def profile(df: DataFrame, order_by: list[str] | None = None, money: bool = False) -> TableProfile:
-    """Profiles every column; runs one or two aggregate jobs.
+    """Profiles every column by a few aggregate jobs.
 
     A date column is read by the format of its first value in ``order_by`` order. Without an order
     key the candidates are the formats of its smallest and largest value, and the one that parses
@@ -93,12 +97,7 @@ def profile(df: DataFrame, order_by: list[str] | None = None, money: bool = Fals
             aggs.append(F.date_diff(F.max(c), F.min(c)).alias(f"days{i}"))
         elif is_text_type(field.dataType):
             aggs.append(F.count(parse(c)).alias(f"num{i}"))
-            aggs.append(F.approx_count_distinct(c, SCREEN_ERROR).alias(f"est{i}"))
-            if order_by:
-                first = F.min_by(c, F.when(c.isNotNull(), F.struct(*order_by)))
-                aggs.append(F.array(first).alias(f"seen{i}"))
-            else:
-                aggs.append(F.array(F.min(c), F.max(c)).alias(f"seen{i}"))
+            aggs.append(F.count_if((F.length(c) >= dates.SHORTEST) & c.rlike(dates.SHAPE)).alias(f"shape{i}"))
     first_scan = df.agg(*aggs).first()
 
     found, open_text = [], []
@@ -119,41 +118,69 @@ def profile(df: DataFrame, order_by: list[str] | None = None, money: bool = Fals
                 p.role = "numeric"
             else:
                 open_text.append(p)
-    if open_text:
-        _second_scan(df, open_text, first_scan)
+    _find_dates(df, [p for p in open_text if first_scan[f"shape{p.pos}"] / p.n >= DATE_SHARE], order_by)
+    _find_categories(df, [p for p in open_text if p.role == "text"])
     return TableProfile(first_scan["rows"], found)
 
 
-def _second_scan(df: DataFrame, open_text: list[ColumnProfile], first_scan) -> None:
-    formats: dict[int, list[dates.DateFormat]] = {}
-    tallies: list[Column] = []
-    distincts: list[Column] = []
-    for p in open_text:
+def _order_key(order_by: list[str]) -> Column:
+    return column(order_by[0]) if len(order_by) == 1 else F.struct(*[column(c) for c in order_by])
+
+
+def _find_dates(df: DataFrame, texts: list[ColumnProfile], order_by: list[str] | None) -> None:
+    """Marks date-like text columns of which enough cells parse by one format."""
+    if not texts:
+        return
+    samples = []
+    for p in texts:
         c = column(p.name)
-        candidates = {dates.format_of(v) for v in first_scan[f"seen{p.pos}"]} - {None}
-        formats[p.pos] = sorted(candidates, key=dates.FORMATS.index)
-        for k, fmt in enumerate(formats[p.pos]):
-            tallies.append(F.count(fmt.parse(c)).alias(f"d{p.pos}_{k}"))
-        if first_scan[f"est{p.pos}"] <= SCREEN_MARGIN * category_limit(p.n):
-            distincts.append(F.countDistinct(c).alias(f"u{p.pos}"))
-    counts: dict = {}
-    # Kept apart: with several distinct counts Spark repeats each row per column, and the parsing
-    # would ride along.
-    for aggs in (tallies, distincts):
-        if aggs:
-            counts.update(df.agg(*aggs).first().asDict())
-
-    for p in open_text:
-        best = max(
-            ((counts[f"d{p.pos}_{k}"], -k, fmt.name) for k, fmt in enumerate(formats[p.pos])), default=None
-        )
-        if best and best[0] / p.n >= DATE_SHARE:
-            p.role, p.n_date, p.date_format = "date", best[0], best[2]
-            continue
-        if best:
-            p.n_date = best[0]
-        p.n_distinct = counts.get(f"u{p.pos}")
-        if p.n_distinct is not None and p.n_distinct <= category_limit(p.n):
+        if order_by:
+            samples.append(F.array(F.min_by(c, F.when(c.isNotNull(), _order_key(order_by)))).alias(f"s{p.pos}"))
+        else:
+            samples.append(F.array(F.min(c), F.max(c)).alias(f"s{p.pos}"))
+    seen = df.agg(*samples).first()
+    tallies, tried = [], {}
+    for p in texts:
+        candidates = {dates.format_of(v) for v in seen[f"s{p.pos}"]} - {None}
+        tried[p.pos] = sorted(candidates, key=dates.FORMATS.index)
+        tallies += [F.count(fmt.parse(column(p.name))).alias(f"d{p.pos}_{k}") for k, fmt in enumerate(tried[p.pos])]
+    if not tallies:
+        return
+    counts = df.agg(*tallies).first()
+    for p in texts:
+        for k, fmt in enumerate(tried[p.pos]):
+            hits = counts[f"d{p.pos}_{k}"]
+            if hits > p.n_date:
+                p.n_date, p.date_format = hits, fmt.name
+        if p.n_date / p.n >= DATE_SHARE:
+            p.role = "date"
+        else:
+            p.date_format = None
+
+
+def _find_categories(df: DataFrame, texts: list[ColumnProfile]) -> None:
+    """Marks text columns with few distinct values, and counts those exactly."""
+    large = [p for p in texts if p.n > SCREEN_ROWS]
+    rejected = set()
+    if large:
+        bits = {p.pos: max(0, int(log2(category_limit(p.n) / SCREEN_VALUES))) for p in large}
+        kept = [
+            F.countDistinct(
+                F.when(F.xxhash64(column(p.name)).bitwiseAND((1 << bits[p.pos]) - 1) == 0, column(p.name))
+            ).alias(f"u{p.pos}")
+            for p in large
+        ]
+        sampled = df.agg(*kept).first()
+        rejected = {
+            p.pos for p in large if (sampled[f"u{p.pos}"] << bits[p.pos]) > SCREEN_MARGIN * category_limit(p.n)
+        }
+    left = [p for p in texts if p.pos not in rejected]
+    if not left:
+        return
+    counts = df.agg(*[F.countDistinct(column(p.name)).alias(f"u{p.pos}") for p in left]).first()
+    for p in left:
+        p.n_distinct = counts[f"u{p.pos}"]
+        if p.n_distinct <= category_limit(p.n):
             p.role = "categorical"
 
 
@@ -190,6 +217,6 @@ def role_counts(found: DataFrame) -> DataFrame:
 def parse_dates(df: DataFrame, name: str, order_by: list[str]) -> Column:
     """A text column read by the format of its first non-null value; other cells are NULL."""
     c = column(name)
-    first = df.agg(F.min_by(c, F.when(c.isNotNull(), F.struct(*order_by)))).first()[0]
+    first = df.agg(F.min_by(c, F.when(c.isNotNull(), _order_key(order_by)))).first()[0]
     fmt = dates.format_of(first)
     return fmt.parse(c) if fmt else F.lit(None).cast("timestamp_ntz")

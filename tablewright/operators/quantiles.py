@@ -31,7 +31,14 @@ def exact_quantiles(
     Rows without a value or a group are left out.
     """
     by = by or []
-    rows = df.select(*by, value.cast("double").alias("_v")).na.drop()
+    number = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*by, number.alias("_v"))
+    if by:
+        rows = rows.na.drop(subset=by)
+    # The number of table rows is an upper bound that a Parquet scan takes from file footers.
+    if df.count() <= limit:
+        return _direct(rows, probs, by)
+    rows = rows.where("_v is not null")
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
     if not by:
         return _narrowed(rows, probs, by, limit) if (sizes.first()[0] > limit) else _direct(rows, probs, by)
@@ -51,7 +58,8 @@ def exact_median(df: DataFrame, value: Column, limit: int = LIMIT) -> DataFrame:
 
 def _direct(rows: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_v", wanted).alias("quantiles"))
+    found = rows.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile("_v", wanted).alias("quantiles"))
+    return found.where("n > 0") if by else found
 
 
 def _narrowed(rows: DataFrame, probs: list[float], by: list[str], limit: int) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.session import cut
+from tablewright.session import stored
 
 INDEX = "row_index"
 BROADCAST_FILES = 200_000  # a path and an offset each, some 40 MB
@@ -24,7 +24,7 @@ def _placed(df: DataFrame, order_by: list | None) -> DataFrame:
     if order_by:
         keys = [key if isinstance(key, Column) else F.col(key) for key in order_by]
         df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    written = cut(df.withColumn("_id", F.monotonically_increasing_id()))
+    written = stored(df.withColumn("_id", F.monotonically_increasing_id()))
     return written.select(
         *df.columns,
         F.shiftright("_id", _PLACE_BITS).alias("_slice"),

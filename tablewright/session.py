@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,19 +18,15 @@ def local_session(cores: str = "*", app: str = "tablewright", shuffle_partitions
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the written copy.
-
-    Needed where a later step must see exactly the rows and partition numbers of an earlier one
-    (range boundaries are sampled, so a recomputed stage could place rows differently). The
-    checkpoint is reliable storage, so a lost executor only re-reads files.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; a temporary one only for local runs that set none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -37,4 +34,23 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="tablewright-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes a small intermediate table once and goes on from its checkpoint."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once as a Parquet table in the shared folder and goes on from the written copy.
+
+    Needed where later steps must see exactly the rows and partition numbers of an earlier one
+    (range boundaries are sampled, so a recomputed stage could place rows differently). Later steps
+    read only the columns they use, and a lost executor only means reading files again. The table
+    lives beside the session's checkpoints and goes when that folder is cleared.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -215,7 +215,7 @@ def _(t):
 )
 def _(t):
     df = messy_prices(t("orders")).select("o_orderkey", "price_txt")
-    return dense_index(df, [*ordering.mixed_key(df, "price_txt"), F.col("o_orderkey")], "position")
+    return ordering.sorted_index(df, "price_txt", True, ["o_orderkey"], "position")
 
 
 @query(
@@ -226,7 +226,7 @@ def _(t):
 )
 def _(t):
     df = messy_prices(t("orders")).select("o_orderkey", "price_txt")
-    return dense_index(df, [*ordering.mixed_key(df, "price_txt", False), F.col("o_orderkey")], "position").drop("price_txt")
+    return ordering.sorted_index(df, "price_txt", False, ["o_orderkey"], "position").drop("price_txt")
 
 
 @query("sort_rows", "SELECT * FROM supplier")
