@@ -122,8 +122,7 @@ def pareto(df: DataFrame, x: str, y: str) -> DataFrame:
 def box_plot(df: DataFrame, x: str, y: str, limit: int | None = None) -> DataFrame:
     """``(label, n, low, q1, median, q3, high)`` per group, exact for groups of any size."""
     points = df.select(present(df, x).cast("string").alias("label"), double_of(df, y).alias("value"))
-    kwargs = {"limit": limit} if limit else {}
-    found = exact_quantiles(points.where("label is not null"), F.col("value"), [0, 0.25, 0.5, 0.75, 1], ["label"], **kwargs)
+    found = exact_quantiles(points, F.col("value"), [0, 0.25, 0.5, 0.75, 1], ["label"], limit)
     parts = ["low", "q1", "median", "q3", "high"]
     return found.select(
         "label", "n", *[F.round(F.element_at("quantiles", i + 1), 4).alias(p) for i, p in enumerate(parts)]
@@ -176,19 +175,20 @@ def histogram(df: DataFrame, y: str, bins: int = 10) -> DataFrame:
 def stacked(df: DataFrame, x: str, series: str, y: str) -> DataFrame:
     """``(label, series, value, share)``: sums per group and series, and the percent within the group.
 
-    The window sees one row per series of a group, never table rows.
+    Group totals are joined rather than computed in a window per group, as a group may have any
+    number of series. Both sides read the same shuffled sums.
     """
     sums = (
         df.select(axis_label(df, x).alias("label"), axis_label(df, series).alias("series"), axis_value(df, y).alias("_v"))
         .groupBy("label", "series")
         .agg(F.sum("_v").alias("_sum"))
     )
-    group = F.sum("_sum").over(Window.partitionBy("label"))
-    return sums.select(
+    totals = sums.groupBy("label").agg(F.sum("_sum").alias("_total"))
+    return sums.join(totals, "label").select(
         "label",
         "series",
         F.round("_sum", 4).alias("value"),
-        F.round(F.try_divide(F.col("_sum"), group) * 100, 4).alias("share"),
+        F.round(F.try_divide(F.col("_sum"), F.col("_total")) * 100, 4).alias("share"),
     )
 
 

@@ -64,27 +64,49 @@ def remove_duplicates(df: DataFrame, index: str = INDEX) -> DataFrame:
     return kept.select(*[source.get(c, F.col(index)).alias(c) for c in df.columns])
 
 
+def cells_to_trim(df: DataFrame) -> Column:
+    """How many cells trimming changes, as an aggregate."""
+    return _total([F.count_if(trimmed(column(c)) != column(c)) for c in _text_columns(df)])
+
+
+def cells_to_fill(df: DataFrame) -> Column:
+    """How many blank or missing cells filling changes, as an aggregate."""
+    texts = [F.count_if(column(c).isNull() | (trimmed(column(c)) == "")) for c in _text_columns(df)]
+    numbers = [F.count_if(column(f.name).isNull()) for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    return _total(texts + numbers)
+
+
+def _total(counts: list[Column]) -> Column:
+    total = F.count_if(F.lit(False))
+    for c in counts:
+        total = total + c
+    return total
+
+
 class ActivityLog:
-    """Counts rows into and out of each cleaning step while the steps run, without extra jobs.
+    """Counts what each cleaning step sees and changes while the steps run, without extra jobs.
 
     Wrap steps with :meth:`apply`; after the result was written or collected, :meth:`frame` gives
-    ``(step, op, rows_in, rows_out)``.
+    ``(step, op, rows_in, rows_out, cells_changed)``.
     """
 
     def __init__(self) -> None:
         self._steps: list[tuple[str, Observation, Observation]] = []
 
-    def apply(self, df: DataFrame, op: str, step) -> DataFrame:
+    def apply(self, df: DataFrame, op: str, step, changes=None) -> DataFrame:
+        """``changes`` maps the input to an aggregate such as :func:`cells_to_trim`."""
         before, after = Observation(), Observation()
         self._steps.append((op, before, after))
-        out = step(df.observe(before, F.count(F.lit(1)).alias("rows")))
-        return out.observe(after, F.count(F.lit(1)).alias("rows"))
+        counted = [F.count(F.lit(1)).alias("rows")] + ([changes(df).alias("cells")] if changes else [])
+        seen = df.observe(before, *counted)
+        return step(seen).observe(after, F.count(F.lit(1)).alias("rows"))
 
     def frame(self, spark) -> DataFrame:
         rows = [
-            (i, op, before.get["rows"], after.get["rows"]) for i, (op, before, after) in enumerate(self._steps)
+            (i, op, before.get["rows"], after.get["rows"], before.get.get("cells"))
+            for i, (op, before, after) in enumerate(self._steps)
         ]
-        return spark.createDataFrame(rows, "step int, op string, rows_in bigint, rows_out bigint")
+        return spark.createDataFrame(rows, "step int, op string, rows_in bigint, rows_out bigint, cells_changed bigint")
 
 
 def cleaning_counts(df: DataFrame) -> DataFrame:

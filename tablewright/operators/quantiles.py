@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tablewright.session import cut
 
-LIMIT = 1_000_000
+# Values one task may hold for a group; without groups there is a single such buffer.
+GROUP_LIMIT = 250_000
+WHOLE_LIMIT = 1_000_000
 CUTS = 64
 ACCURACY = 10_000
 
@@ -24,13 +26,14 @@ def exact_quantiles(
     value: Column,
     probs: list[float],
     by: list[str] | None = None,
-    limit: int = LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Per group: the columns of ``by``, ``n`` and ``quantiles`` (linear interpolation, as ``percentile``).
 
     Rows without a value or a group are left out.
     """
     by = by or []
+    limit = limit or (GROUP_LIMIT if by else WHOLE_LIMIT)
     number = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
     rows = df.select(*by, number.alias("_v"))
     if by:
@@ -50,7 +53,7 @@ def exact_quantiles(
     return small.unionByName(_narrowed(rows.join(large, by, "left_semi"), probs, by, limit))
 
 
-def exact_median(df: DataFrame, value: Column, limit: int = LIMIT) -> DataFrame:
+def exact_median(df: DataFrame, value: Column, limit: int | None = None) -> DataFrame:
     """One row: ``n`` and ``median``."""
     found = exact_quantiles(df, value, [0.5], limit=limit)
     return found.select("n", F.element_at("quantiles", 1).alias("median"))

@@ -12,7 +12,7 @@ from tablewright.operators.aggregates import MAX_KPIS, group_sum_top, kpi_block,
 from tablewright.operators.ordering import top_columns, top_rows
 from tablewright.operators.profile import TableProfile, coerce, profile
 from tablewright.operators.timeseries import daily_sums, trend_of_days
-from tablewright.session import cut
+from tablewright.session import cut, stored
 
 SCHEMA = "section string, item string, position int, label string, value double"
 # The shared category-by-day table is built only when it cannot have more rows than this.
@@ -60,11 +60,14 @@ def dashboard(
     y = numbers[0] if numbers else None
     d = time or (days[0] if days else None)
 
+    columns = top_columns(categories, numbers, df.columns)
+    typed, span = _parsed_once(df, typed, found, [x, y, d, *numbers[:MAX_KPIS], *columns, *(order_by or [])], d)
+
     sections = [_meta(df, name, found, x, y, d)]
     if numbers:
         k = kpi_block(typed, numbers[:MAX_KPIS])
         sections.append(_long(k, "kpi", F.col("column"), F.col("position"), F.col("stat"), F.col("value")))
-    shared = _shared(typed, found, x, y, d)
+    shared = _shared(typed, found, x, y, d, span)
     if x and y:
         bars = group_sum_top(shared, x, "_sum") if shared else group_sum_top(typed, x, y)
         sections.append(_long(bars, "bar", x, F.col("rank") - 1, F.col("label"), F.col("value")))
@@ -75,7 +78,7 @@ def dashboard(
         pie = merge_small(counts)
         sections.append(_long(pie, "pie", x, F.col("rank") - 1, F.col("label"), F.col("n")))
     if numbers:
-        sections.append(_top(typed, y, top_columns(categories, numbers, df.columns), order_by))
+        sections.append(_top(typed, y, columns, order_by))
     return reduce(DataFrame.unionByName, sections)
 
 
@@ -92,7 +95,25 @@ def _meta(df: DataFrame, name: str, found: TableProfile, x, y, d) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, SCHEMA)
 
 
-def _shared(typed: DataFrame, found: TableProfile, x, y, d) -> DataFrame | None:
+def _parsed_once(
+    df: DataFrame, typed: DataFrame, found: TableProfile, used: list, d: str | None
+) -> tuple[DataFrame, int | None]:
+    """The columns the sections use, and the days between the first and last date.
+
+    Columns that had to be parsed from text are written once, so that the sections do not each parse
+    them again; a table that already has types is read in place.
+    """
+    names = list(dict.fromkeys(name for name in used if name))
+    span = next((c.days for c in found.columns if c.name == d), None)
+    if all(df.schema[n].dataType == typed.schema[n].dataType for n in names):
+        return typed, span
+    kept = stored(typed.select(*[column(n) for n in names]))
+    if d and span is None:
+        span = kept.agg(F.date_diff(F.max(column(d)), F.min(column(d)))).first()[0]
+    return kept, span
+
+
+def _shared(typed: DataFrame, found: TableProfile, x, y, d, span: int | None) -> DataFrame | None:
     """Sums and counts per category and day, if provably small: bars, pie and line then share one scan.
 
     The bound is the exact number of categories times the days between the first and last date.
@@ -101,7 +122,6 @@ def _shared(typed: DataFrame, found: TableProfile, x, y, d) -> DataFrame | None:
         return None
     profiled = {c.name: c for c in found.columns}
     categories = profiled[x].n_distinct
-    span = profiled[d].days
     if categories is None or span is None or (categories + 1) * (span + 1) > SHARED_ROWS:
         return None
     v = double_of(typed, y)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import NullType
 
 
 def local_session(cores: str = "*", app: str = "tablewright", shuffle_partitions: int = 8) -> SparkSession:
@@ -51,6 +52,8 @@ def stored(df: DataFrame) -> DataFrame:
     read only the columns they use, and a lost executor only means reading files again. The table
     lives beside the session's checkpoints and goes when that folder is cleared.
     """
+    if any(isinstance(f.dataType, NullType) for f in df.schema.fields):  # Parquet has no untyped column
+        return cut(df)
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -118,16 +118,20 @@ def _orient_of(documents: DataFrame) -> str:
     """
     member = F.from_json("value", "map<string,string>")
     kinds = documents.select(F.explode(member).alias("key", "member")).select(
-        "key",
-        F.substring("member", 1, 1).alias("kind"),
-        F.json_array_length("member").alias("size"),
+        "key", F.substring("member", 1, 1).alias("kind"), F.json_array_length("member").alias("size")
     )
-    seen = kinds.groupBy("key").agg(F.first("kind").alias("kind"), F.first("size").alias("size")).limit(10_000).collect()
-    if {r["key"] for r in seen} >= {"columns", "data"} and len({r["size"] for r in seen}) > 1:
+    seen = kinds.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("kind") == "{").alias("objects"),
+        F.count_if(F.col("kind") == "[").alias("lists"),
+        F.countDistinct("size").alias("sizes"),
+        F.count_if(F.col("key").isin("columns", "data")).alias("split_keys"),
+    ).first()
+    if seen["split_keys"] >= 2 and seen["lists"] >= 2 and seen["sizes"] > 1:
         return "split"
-    if seen and all(r["kind"] == "{" for r in seen):
+    if seen["n"] and seen["objects"] == seen["n"]:
         return "columns"
-    if seen and all(r["kind"] == "[" for r in seen):
+    if seen["n"] and seen["lists"] == seen["n"]:
         return "lists"
     raise ValueError("cannot read this JSON structure; name its orient")
 

@@ -175,3 +175,16 @@ def test_recipe_rows_functions_and_charts(spark):
     assert run_recipe(df, [{"action": "function", "function": "avg", "column": "y"}]).first().result == 3.0
     pie = run_recipe(df, [{"action": "chart", "chartType": "pie", "xCol": 0, "yCol": 1}])
     assert [r.label for r in pie.orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_group_sums_match_known_values(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    board = dashboard(orders, "orders", measure="o_totalprice", order_by=["o_orderkey"]).collect()
+    bars = {r.label: r.value for r in board if r.section == "bar"}
+    assert bars == pytest.approx({"F": 1233170551.74, "O": 1251869314.00, "P": 1273399754.32}, abs=0.01)
+    line = sorted((r.position, r.label, r.value) for r in board if r.section == "line" and r.item == "o_totalprice")
+    assert len(line) == 60
+    assert line[0][1:] == ("1996-09-30", pytest.approx(51746218.56, abs=0.01))
+    assert line[-1][1:] == ("2001-08-31", pytest.approx(702947.99, abs=0.01))
+    trend = {r.position: r.value for r in board if r.section == "line" and r.item == "o_totalprice Trend"}
+    assert trend[59] == pytest.approx(39670289.435, abs=0.01)

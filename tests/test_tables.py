@@ -34,6 +34,11 @@ def test_dense_index_of_nothing(spark):
     assert dense_index(spark.range(0), ["id"]).collect() == []
 
 
+def test_dense_index_with_an_untyped_column(spark):
+    df = spark.range(10).withColumn("none", F.lit(None))
+    assert [r.row_index for r in dense_index(df, ["id"]).orderBy("id").collect()] == list(range(10))
+
+
 def test_running_total(spark):
     df = spark.range(1000).withColumn("v", F.col("id") % 7).repartition(6)
     got = running_total(df, ["id"], "v", "total").orderBy("id").collect()
@@ -113,12 +118,15 @@ def test_remove_duplicates_with_maps(spark):
 
 
 def test_activity_log(spark):
-    df = spark.createDataFrame([(0, " a"), (1, "a"), (2, "a")], "row_index bigint, x string")
+    df = spark.createDataFrame([(0, " a"), (1, "a"), (2, "a"), (3, None)], "row_index bigint, x string")
     log = cleaning.ActivityLog()
-    out = log.apply(df, "trim", cleaning.trim_whitespace)
+    out = log.apply(df, "trim", cleaning.trim_whitespace, cleaning.cells_to_trim)
+    out = log.apply(out, "fill", cleaning.fill_empty, cleaning.cells_to_fill)
     out = log.apply(out, "remove duplicates", cleaning.remove_duplicates)
-    assert out.count() == 1
-    assert [tuple(r) for r in log.frame(spark).orderBy("step").collect()] == [(0, "trim", 3, 3), (1, "remove duplicates", 3, 1)]
+    assert len(out.collect()) == 2
+    assert [tuple(r) for r in log.frame(spark).orderBy("step").collect()] == [
+        (0, "trim", 4, 4, 1), (1, "fill", 4, 4, 1), (2, "remove duplicates", 4, 2, None),
+    ]
 
 
 def test_search(people):
