@@ -1,24 +1,25 @@
 """Exact order statistics for groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task. Here that is allowed only for
-groups of at most ``limit`` rows. Larger groups are narrowed first: each round cuts the interval of
-every wanted rank at approximate quantiles, counts exactly how many values fall on and between the
-cuts, and keeps the one piece that holds the rank. Rounds only aggregate, with partial sums on the
-map side, so a group with a third of all rows costs no task more than any other.
+groups up to a stated size. For larger groups the wanted ranks are first narrowed to small value
+intervals: each round counts the values of an interval in equal-width buckets (a plain aggregate
+with partial sums on the map side) and keeps the buckets that hold a rank. What is left is counted
+per value and numbered by the partitioned running total, so no task ever holds a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.operators.rowindex import running_total
 from tablewright.session import cut
 
 # Values one task may hold for a group; without groups there is a single such buffer.
 GROUP_LIMIT = 250_000
 WHOLE_LIMIT = 1_000_000
-CUTS = 64
-ACCURACY = 10_000
+BUCKETS = 1024
+ROUNDS = 3
 
 
 def exact_quantiles(
@@ -42,15 +43,15 @@ def exact_quantiles(
     if df.count() <= limit:
         return _direct(rows, probs, by)
     rows = rows.where("_v is not null")
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    if not by:
-        return _narrowed(rows, probs, by, limit) if (sizes.first()[0] > limit) else _direct(rows, probs, by)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     # At most one row per ``limit`` rows of the table.
-    large = cut(sizes.where(F.col("n") > limit).select(*by))
+    large = cut(sizes.where(F.col("n") > limit))
     if large.isEmpty():
         return _direct(rows, probs, by)
-    small = _direct(rows.join(large, by, "left_anti"), probs, by)
-    return small.unionByName(_narrowed(rows.join(large, by, "left_semi"), probs, by, limit))
+    ranked = _ranked(rows, large, probs, by, limit)
+    if not by:
+        return ranked
+    return _direct(rows.join(large.select(*by), by, "left_anti"), probs, by).unionByName(ranked)
 
 
 def exact_median(df: DataFrame, value: Column, limit: int | None = None) -> DataFrame:
@@ -65,123 +66,98 @@ def _direct(rows: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
     return found.where("n > 0") if by else found
 
 
-def _narrowed(rows: DataFrame, probs: list[float], by: list[str], limit: int) -> DataFrame:
-    low = [F.floor((F.col("n") - 1) * F.lit(float(p))) for p in probs]
-    high = [F.ceil((F.col("n") - 1) * F.lit(float(p))) for p in probs]
-    sizes = cut(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    # One row per group and wanted rank: its value lies in [_lo, _hi], _below values lie under _lo
-    # and _inside values in between.
-    state = sizes.select(
-        *by,
-        F.explode(F.array_distinct(F.array(*low, *high))).alias("_rank"),
-        "_lo",
-        "_hi",
-        F.lit(0).cast("long").alias("_below"),
-        F.col("n").alias("_inside"),
+def _spot(p: float) -> Column:
+    """The fractional 0-based rank of a quantile."""
+    return (F.col("n") - 1) * F.lit(float(p))
+
+
+def _ranked(rows: DataFrame, large: DataFrame, probs: list[float], by: list[str], limit: int) -> DataFrame:
+    ends = [side(_spot(p)) for p in probs for side in (F.floor, F.ceil)]
+    # Disjoint intervals of a group: _inside values lie in [_lo, _hi], _below values under _lo, and
+    # the values of the 0-based _ranks are among them.
+    state = large.select(
+        *by, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("n").alias("_inside"), F.array_distinct(F.array(*ends)).alias("_ranks")
     )
     is_open = (F.col("_inside") > limit) & (F.col("_lo") < F.col("_hi"))
-    while not state.where(is_open).isEmpty():
-        narrower = _narrow(rows, state.where(is_open), by)
-        state = cut(state.where(~is_open).unionByName(narrower))
-    return _interpolate(_select_rest(rows, state, by), sizes, probs, by)
+    for _ in range(ROUNDS):
+        if state.where(is_open).isEmpty():
+            break
+        state = cut(state.where(~is_open).unionByName(_narrow(rows, state.where(is_open), by)))
+    found = F.map_from_entries(F.collect_list(F.struct("_rank", "_at"))).alias("_at")  # two per quantile
+    ranks = _select(rows, state, by)
+    if by:
+        joined = large.join(ranks.groupBy(*by).agg(found), by)
+    else:
+        joined = large.withColumn("_at", ranks.agg(found).scalar())
+    out = []
+    for p in probs:
+        a, b = F.col("_at")[F.floor(_spot(p))], F.col("_at")[F.ceil(_spot(p))]
+        share = _spot(p) - F.floor(_spot(p))
+        out.append(F.when(a == b, a).otherwise(a + (b - a) * share))
+    return joined.select(*by, "n", F.array(*out).alias("quantiles"))
 
 
-def _inside(rows: DataFrame, state: DataFrame, by: list[str], *extra: str) -> DataFrame:
-    """Rows within the interval of each wanted rank, with the rank and the ``extra`` state columns.
+def _inside(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, _v, _lo, _hi)``: rows that lie in an interval of their group, at most one each.
 
-    A group has at most two ranks per probability, so a row is repeated a few times at most. With
-    groups this is a join without a hint: Spark broadcasts the state when it is small and splits
-    skewed partitions when it is not. Without groups the handful of intervals is a literal.
+    The join carries no hint: Spark broadcasts the intervals when they are few and splits skewed
+    partitions when they are not. Without groups the handful of intervals is a literal.
     """
     if by:
-        keep = [*by, "_rank", "_v", *extra]
-        return rows.join(state, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).select(*keep)
-    fields = ["_rank", "_lo", "_hi", *extra]
-    kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
-    listed = [F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in state.select(*fields).collect()]
-    shape = ",".join(f"{f}:{kinds[f]}" for f in fields)
-    intervals = F.array(*listed).cast(f"array<struct<{shape}>>")
+        near = state.select(*by, "_lo", "_hi")
+        return rows.join(near, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    ends = [F.struct(F.lit(r["_lo"]).alias("_lo"), F.lit(r["_hi"]).alias("_hi")) for r in state.select("_lo", "_hi").collect()]
+    intervals = F.array(*ends).cast("array<struct<_lo:double,_hi:double>>")
     hits = F.filter(intervals, lambda s: F.col("_v").between(s["_lo"], s["_hi"]))
-    return rows.select("_v", F.explode(hits).alias("_s")).select("_s._rank", "_v", *[f"_s.{e}" for e in extra])
+    return rows.select("_v", F.explode(hits).alias("_s")).select("_v", "_s._lo", "_s._hi")
 
 
 def _narrow(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
-    """One round: the piece of each interval that holds its rank."""
-    keys = [*by, "_rank"]
-    steps = F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)])
-    cuts = (
-        _inside(rows, state, by)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", steps, F.lit(ACCURACY)))).alias("_cuts"))
-    )
-    state = cut(state.join(cuts, keys))
-    # Piece 2i is the cut value i itself, piece 2i + 1 the open gap after it, piece -1 what lies
-    # before the first cut; a value that fills the interval settles on its own piece.
-    reached = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
-    piece = 2 * (reached - 1) + F.when(F.array_contains("_cuts", F.col("_v")), 0).otherwise(1)
+    """One round: the buckets that hold a wanted rank, with the exact ends of their values."""
+    keys = [*by, "_lo"]
+    width = F.col("_hi") - F.col("_lo")
+    # Rounding keeps the order, so buckets follow the order of the values. An infinite width says
+    # nothing about the place of a value; such an interval is left to the final numbering.
+    place = F.floor((F.col("_v") - F.col("_lo")) / width * BUCKETS)
+    bucket = F.when(width < float("inf"), F.least(place, F.lit(BUCKETS - 1))).otherwise(0)
     pieces = (
-        _inside(rows, state, by, "_cuts")
-        .groupBy(*keys, piece.alias("_piece"))
+        _inside(rows, state, by)
+        .groupBy(*keys, bucket.alias("_bucket"))
         .agg(F.count("*").alias("_count"), F.min("_v").alias("_first"), F.max("_v").alias("_last"))
-        .groupBy(*keys)
-        # At most 2 * CUTS + 2 pieces per rank.
-        .agg(F.array_sort(F.collect_list(F.struct("_piece", "_count", "_first", "_last"))).alias("_pieces"))
-    )
-    earlier = F.aggregate(
-        F.filter("_pieces", lambda p: p["_piece"] < F.col("_pick._piece")),
-        F.lit(0).cast("long"),
-        lambda total, p: total + p["_count"],
     )
+    # At most BUCKETS rows per interval.
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = pieces.withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    start = F.col("_below") + F.col("_before")
+    held = F.filter("_ranks", lambda r: (r >= start) & (r < start + F.col("_count")))
     return (
-        state.join(pieces, keys)
-        .withColumn("_pick", _piece_of_rank())
+        counted.join(state.select(*keys, "_below", "_ranks"), keys)
+        .withColumn("_held", held)
+        .where(F.size("_held") > 0)
         .select(
-            *keys,
-            F.col("_pick._first").alias("_lo"),
-            F.col("_pick._last").alias("_hi"),
-            (F.col("_below") + earlier).alias("_below"),
-            F.col("_pick._count").alias("_inside"),
+            *by,
+            F.col("_first").alias("_lo"),
+            F.col("_last").alias("_hi"),
+            start.alias("_below"),
+            F.col("_count").alias("_inside"),
+            F.col("_held").alias("_ranks"),
         )
     )
 
 
-def _piece_of_rank() -> Column:
-    """The piece whose running count first passes the wanted rank."""
-    start = F.struct(
-        F.col("_below").alias("seen"),
-        F.lit(None).cast("struct<_piece:int,_count:bigint,_first:double,_last:double>").alias("pick"),
-    )
-
-    def step(acc, p):
-        seen = acc["seen"] + p["_count"]
-        hit = acc["pick"].isNull() & (seen > F.col("_rank"))
-        return F.struct(seen.alias("seen"), F.when(hit, p).otherwise(acc["pick"]).alias("pick"))
-
-    return F.aggregate("_pieces", start, step, lambda acc: acc["pick"])
-
-
-def _select_rest(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
-    """``(*by, _rank, _at)``: a one-value interval is the answer; the rest hold at most ``limit`` values."""
-    keys = [*by, "_rank"]
-    done = state.where(F.col("_lo") == F.col("_hi")).select(*keys, F.col("_lo").alias("_at"))
-    picked = (
-        _inside(rows, state.where(F.col("_lo") < F.col("_hi")), by, "_below")
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_v")).alias("_vs"), F.first("_below").alias("_below"))
-        .select(*keys, F.get("_vs", (F.col("_rank") - F.col("_below")).cast("int")).alias("_at"))
-    )
-    return done.unionByName(picked)
-
-
-def _interpolate(ranks: DataFrame, sizes: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
-    found = F.map_from_entries(F.collect_list(F.struct("_rank", "_at"))).alias("_at")
-    if by:
-        joined = sizes.join(ranks.groupBy(*by).agg(found), by)
-    else:
-        joined = sizes.withColumn("_at", ranks.agg(found).scalar())
-    out = []
-    for p in probs:
-        spot = (F.col("n") - 1) * F.lit(float(p))
-        a, b = F.col("_at")[F.floor(spot)], F.col("_at")[F.ceil(spot)]
-        out.append(a + (b - a) * (spot - F.floor(spot)))
-    return joined.select(*by, "n", F.array(*out).alias("quantiles"))
+def _select(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, _rank, _at)``: the value of each wanted rank."""
+    keys = [*by, "_lo"]
+    settled = state.where(F.col("_lo") == F.col("_hi"))
+    done = settled.select(*by, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_at"))
+    rest = state.where(F.col("_lo") < F.col("_hi"))
+    if rest.isEmpty():
+        return done
+    # Unique (interval, value) pairs, so the range partitions of the running total cannot be skewed.
+    values = _inside(rows, rest, by).groupBy(*keys, "_v").agg(F.count("*").alias("_count"))
+    ended = running_total(values, [*keys, "_v"], "_count", "_end")
+    starts = ended.groupBy(*keys).agg(F.min(F.col("_end") - F.col("_count")).alias("_start"))
+    to = F.col("_below") + F.col("_end") - F.col("_start")
+    held = F.filter("_ranks", lambda r: (r >= to - F.col("_count")) & (r < to))
+    picked = ended.join(rest.select(*keys, "_below", "_ranks").join(starts, keys), keys)
+    return done.unionByName(picked.select(*by, F.explode(held).alias("_rank"), F.col("_v").alias("_at")))
