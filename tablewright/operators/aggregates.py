@@ -73,29 +73,23 @@ def column_function_value(df: DataFrame, fn: str, name: str) -> float:
 def kpi_block(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows ``(column, position, stat, value)`` for the first numeric columns; sample deviation.
 
-    One aggregate over all columns, then unpivoted from its single row.
+    One aggregate over all columns, unpivoted from its single row; columns without a value drop out.
     """
     shown = columns[:MAX_KPIS]
-    aggs, entries = [], []
-    for i, name in enumerate(shown):
-        v = double_of(df, name)
-        stats = [F.sum(v), F.avg(v), F.min(v), F.max(v), F.stddev_samp(v)]
-        aggs += [s.alias(f"k{i}_{stat}") for s, stat in zip(stats, KPI_STATS)] + [F.count(v).alias(f"n{i}")]
-        entries += [
-            F.when(
-                F.col(f"n{i}") > 0,
-                F.struct(
-                    F.lit(name).alias("column"),
-                    F.lit(i).alias("position"),
-                    F.lit(stat).alias("stat"),
-                    safe_scalar(F.col(f"k{i}_{stat}")).alias("value"),
-                ),
-            )
-            for stat in KPI_STATS
-        ]
     if not shown:
         return df.sparkSession.createDataFrame([], "column string, position int, stat string, value double")
-    return df.agg(*aggs).select(F.inline(F.array_compact(F.array(*entries))))
+    stats, unpivot = [], []
+    for i, name in enumerate(shown):
+        v = double_of(df, name)
+        stats.append(F.array(F.sum(v), F.avg(v), F.min(v), F.max(v), F.stddev_samp(v)).alias(f"k{i}"))
+        unpivot += [F.lit(name), F.lit(i), F.col(f"k{i}")]
+    per_column = df.agg(*stats).select(F.stack(F.lit(len(shown)), *unpivot).alias("column", "position", "stats"))
+    names = F.array(*[F.lit(stat) for stat in KPI_STATS])
+    return (
+        per_column.where("stats[0] is not null")
+        .select("column", "position", F.explode(F.arrays_zip(names.alias("stat"), F.col("stats").alias("value"))).alias("_s"))
+        .select("column", "position", F.col("_s.stat").alias("stat"), safe_scalar(F.col("_s.value")).alias("value"))
+    )
 
 
 def null_cells(df: DataFrame) -> DataFrame:

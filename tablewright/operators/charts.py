@@ -35,7 +35,7 @@ def axis_value(df: DataFrame, name: str) -> Column:
 
 def xy_series(df: DataFrame, x: str, y: str, keep: list[str] | None = None) -> DataFrame:
     """``(*keep, label, value)``, one point per row; ``keep`` carries the row order."""
-    return df.select(*(keep or []), axis_label(df, x).alias("label"), axis_value(df, y).alias("value"))
+    return df.select(*[column(c) for c in keep or []], axis_label(df, x).alias("label"), axis_value(df, y).alias("value"))
 
 
 def plottable(df: DataFrame, y: str) -> DataFrame:
@@ -51,9 +51,9 @@ def pie_slices(df: DataFrame, x: str, y: str, tie: list[str], slices: int = PIE_
     The row that would be last becomes ``Other`` and gets the total of everything not shown, so the
     top list is read once; count and total come from one scalar aggregate.
     """
-    points = df.select(*tie, axis_label(df, x).alias("label"), axis_value(df, y).alias("value"))
+    points = df.select(*[column(t) for t in tie], axis_label(df, x).alias("label"), axis_value(df, y).alias("value"))
     totals = points.agg(F.struct(F.count("*").alias("n"), F.sum(F.abs("value")).alias("size")).alias("t")).scalar()
-    order = [F.desc("_size"), *[F.col(t) for t in tie]]
+    order = [F.desc("_size"), *[column(t) for t in tie]]
     top = points.withColumn("_size", F.abs("value")).orderBy(*order).limit(slices)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("_all", totals)
     shown = F.sum(F.when(F.col("rank") < slices, F.col("_size"))).over(Window.partitionBy(F.lit(0)))
@@ -73,7 +73,7 @@ def pie_slices(df: DataFrame, x: str, y: str, tie: list[str], slices: int = PIE_
 
 def radar_points(df: DataFrame, x: str, y: str, tie: list[str], points: int = RADAR_POINTS) -> DataFrame:
     """``(rank, label, value)``: the points with the largest values."""
-    order = [F.desc("value"), *[F.col(t) for t in tie]]
+    order = [F.desc("value"), *[column(t) for t in tie]]
     top = xy_series(df, x, y, tie).orderBy(*order).limit(points)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "label", "value")
 

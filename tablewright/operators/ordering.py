@@ -76,7 +76,7 @@ def viewport(df: DataFrame, start: int, stop: int, index: str = INDEX) -> DataFr
 
 
 def preview(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    return df.orderBy(*(order_by or [INDEX])).limit(PREVIEW_ROWS)
+    return df.orderBy(*[column(c) for c in order_by or [INDEX]]).limit(PREVIEW_ROWS)
 
 
 def top_rows(df: DataFrame, by: str, columns: list[str], tie: list[str], k: int = TOP_ROWS) -> DataFrame:
@@ -85,9 +85,9 @@ def top_rows(df: DataFrame, by: str, columns: list[str], tie: list[str], k: int
     Numbers are rounded to 4 decimals; missing text is blank. Each task keeps only its own ``k``
     rows before they are merged.
     """
-    key = double_of(df, by)
-    top = df.withColumn("_key", key).orderBy(F.desc_nulls_last("_key"), *tie).limit(k)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("_key"), *tie)))
+    order = [F.desc_nulls_last("_key"), *[column(t) for t in tie]]
+    top = df.withColumn("_key", double_of(df, by)).orderBy(*order).limit(k)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
     def shown(name: str) -> Column:
         dtype = df.schema[name].dataType

@@ -214,9 +214,12 @@ def role_counts(found: DataFrame) -> DataFrame:
 
 
 
-def parse_dates(df: DataFrame, name: str, order_by: list[str]) -> Column:
-    """A text column read by the format of its first non-null value; other cells are NULL."""
-    c = column(name)
-    first = df.agg(F.min_by(c, F.when(c.isNotNull(), _order_key(order_by)))).first()[0]
-    fmt = dates.format_of(first)
-    return fmt.parse(c) if fmt else F.lit(None).cast("timestamp_ntz")
+def parse_dates(df: DataFrame, names: list[str], order_by: list[str]) -> dict[str, Column]:
+    """Text columns read by the format of their first non-null value; other cells are NULL."""
+    key = _order_key(order_by)
+    cells = [column(name) for name in names]
+    first = df.agg(*[F.min_by(c, F.when(c.isNotNull(), key)) for c in cells]).first()
+    formats = [dates.format_of(value) for value in first]
+    return {
+        name: fmt.parse(c) if fmt else F.lit(None).cast("timestamp_ntz") for name, c, fmt in zip(names, cells, formats)
+    }

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.functions.parsing import column
 from tablewright.session import stored
 
 INDEX = "row_index"
@@ -22,16 +23,20 @@ _PLACE_BITS = 33  # monotonically_increasing_id keeps the place in the partition
 def _placed(df: DataFrame, order_by: list | None) -> DataFrame:
     """Ordered rows with ``_slice`` (partition) and ``_place`` (0-based place in it), written once."""
     if order_by:
-        keys = [key if isinstance(key, Column) else F.col(key) for key in order_by]
+        keys = [key if isinstance(key, Column) else column(key) for key in order_by]
         df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     written = stored(df.withColumn("_id", F.monotonically_increasing_id()))
     return written.select(
-        *df.columns,
+        *_cells(df),
         F.shiftright("_id", _PLACE_BITS).alias("_slice"),
         F.col("_id").bitwiseAND((1 << _PLACE_BITS) - 1).alias("_place"),
     )
 
 
+def _cells(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
 def _before(sizes: DataFrame, size: str) -> DataFrame:
     """Totals of all earlier slices; there is one row per partition, so one task suffices."""
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,7 +50,7 @@ def dense_index(df: DataFrame, order_by: list | None = None, name: str = INDEX)
     # One row per partition, hence broadcastable however large the table is.
     offsets = F.broadcast(_before(sizes, "_size"))
     return placed.join(offsets, "_slice").select(
-        (F.col("_before") + F.col("_place")).alias(name), *df.columns
+        (F.col("_before") + F.col("_place")).alias(name), *_cells(df)
     )
 
 
@@ -61,7 +66,7 @@ def file_index(df: DataFrame, name: str = INDEX) -> DataFrame:
     offsets = ended.select("_file", (F.col("_end") - F.col("_size")).alias("_before"))
     if ended.count() <= BROADCAST_FILES:
         offsets = F.broadcast(offsets)
-    return tagged.join(offsets, "_file").select((F.col("_before") + F.col("_row")).alias(name), *df.columns)
+    return tagged.join(offsets, "_file").select((F.col("_before") + F.col("_row")).alias(name), *_cells(df))
 
 
 def running_total(df: DataFrame, order_by: list, value: str, name: str) -> DataFrame:
@@ -73,7 +78,7 @@ def running_total(df: DataFrame, order_by: list, value: str, name: str) -> DataF
     return (
         placed.withColumn("_part", F.sum(value).over(within))
         .join(offsets, "_slice")
-        .select(*df.columns, (F.col("_before") + F.col("_part")).alias(name))
+        .select(*_cells(df), (F.col("_before") + F.col("_part")).alias(name))
     )
 
 

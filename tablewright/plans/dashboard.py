@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.parsing import column, double_of, is_number_type
+from tablewright.functions.parsing import column, double_of, is_number_type, quoted
 from tablewright.operators.aggregates import MAX_KPIS, group_sum_top, kpi_block, merge_small, value_counts_top
 from tablewright.operators.ordering import top_columns, top_rows
 from tablewright.operators.profile import TableProfile, coerce, profile
@@ -19,14 +19,19 @@ SCHEMA = "section string, item string, position int, label string, value double"
 SHARED_ROWS = 2_000_000
 
 
-def _long(df: DataFrame, section: str, item, position, label, value) -> DataFrame:
-    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return df.select(
-        F.lit(section).alias("section"),
-        as_column(item).cast("string").alias("item"),
-        as_column(position).cast("int").alias("position"),
-        as_column(label).cast("string").alias("label"),
-        as_column(value).cast("double").alias("value"),
+def _text(value: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _long(df: DataFrame, section: str, item: str, position: str, label: str, value: str) -> DataFrame:
+    """The five columns of the result from SQL expressions."""
+    return df.selectExpr(
+        f"'{section}' AS section",
+        f"CAST({item} AS STRING) AS item",
+        f"CAST({position} AS INT) AS position",
+        f"CAST({label} AS STRING) AS label",
+        f"CAST({value} AS DOUBLE) AS value",
     )
 
 
@@ -66,17 +71,17 @@ def dashboard(
     sections = [_meta(df, name, found, x, y, d)]
     if numbers:
         k = kpi_block(typed, numbers[:MAX_KPIS])
-        sections.append(_long(k, "kpi", F.col("column"), F.col("position"), F.col("stat"), F.col("value")))
+        sections.append(_long(k, "kpi", "column", "position", "stat", "value"))
     shared = _shared(typed, found, x, y, d, span)
     if x and y:
         bars = group_sum_top(shared, x, "_sum") if shared else group_sum_top(typed, x, y)
-        sections.append(_long(bars, "bar", x, F.col("rank") - 1, F.col("label"), F.col("value")))
+        sections.append(_long(bars, "bar", _text(x), "rank - 1", "label", "value"))
     if d and y:
-        sections += _line(_daily(typed, shared, d, y), y)
+        sections.append(_line(_daily(typed, shared, d, y), y))
     if x:
         counts = value_counts_top(shared, x, weight="_rows") if shared else value_counts_top(typed, x)
         pie = merge_small(counts)
-        sections.append(_long(pie, "pie", x, F.col("rank") - 1, F.col("label"), F.col("n")))
+        sections.append(_long(pie, "pie", _text(x), "rank - 1", "label", "n"))
     if numbers:
         sections.append(_top(typed, y, columns, order_by))
     return reduce(DataFrame.unionByName, sections)
@@ -139,41 +144,22 @@ def _daily(typed: DataFrame, shared: DataFrame | None, d: str, y: str) -> DataFr
     return known.groupBy("_day").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
 
 
-def _line(days: DataFrame, y: str) -> list[DataFrame]:
+def _line(days: DataFrame, y: str) -> DataFrame:
     """Series and trend, unpivoted from one plan."""
-    series = trend_of_days(days).select(
-        "position",
-        "period",
-        F.inline(
-            F.array(
-                F.struct(F.lit(y).alias("item"), F.col("value").alias("shown")),
-                F.struct(F.lit(f"{y} Trend").alias("item"), F.col("trend").alias("shown")),
-            )
-        ),
-    )
-    return [_long(series, "line", F.col("item"), F.col("position"), F.col("period"), F.col("shown"))]
+    shown = f"stack(2, {_text(y)}, value, {_text(y + ' Trend')}, trend) AS (item, shown)"
+    series = trend_of_days(days).selectExpr("position", "period", shown)
+    return _long(series, "line", "item", "position", "period", "shown")
 
 
 def _top(typed: DataFrame, by: str, columns: list[str], order_by: list[str] | None) -> DataFrame:
     top = top_rows(typed, by, columns, order_by or columns)
-    cells = [
-        F.struct(
-            F.lit(c).alias("item"),
-            F.lit(i).alias("place"),
-            (F.lit("") if is_number_type(typed.schema[c].dataType) else column(c)).cast("string").alias("text"),
-            (column(c) if is_number_type(typed.schema[c].dataType) else F.lit(None)).cast("double").alias("number"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    long = top.select("rank", F.inline(F.array(*cells)))
-    return _long(
-        long,
-        "top",
-        F.col("item"),
-        F.col("rank") - 1,
-        F.when(F.col("number").isNull(), F.col("text")),
-        F.col("number"),
-    )
+    cells = []
+    for name in columns:
+        cell = quoted(name)
+        number = is_number_type(typed.schema[name].dataType)
+        cells.append(f"{_text(name)}, {'NULL' if number else cell}, {f'CAST({cell} AS DOUBLE)' if number else 'NULL'}")
+    long = top.selectExpr("rank", f"stack({len(columns)}, {', '.join(cells)}) AS (item, label, value)")
+    return _long(long, "top", "item", "rank - 1", "label", "value")
 
 
 def typed_table(df: DataFrame, order_by: list[str] | None = None, money: bool = False) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.names import clean_names
 from tablewright.functions.parsing import NUMBER, column, is_text_type, numeric
-from tablewright.session import cut
 
 # The limits of header detection and sheet validity.
 HEADER_SCAN_ROWS = 10
@@ -51,18 +50,13 @@ def _filled(grid: DataFrame) -> DataFrame:
     return grid.where(F.exists("cells", lambda c: c.isNotNull()))
 
 
-def _width(grid: DataFrame) -> int:
-    return grid.agg(F.max(F.size("cells"))).first()[0] or 0
-
-
 def column_counts(grid: DataFrame) -> DataFrame:
     """``(sheet, raw_rows, used, filled, filled_near)`` per sheet, in one aggregate.
 
     ``used`` counts the non-null cells per position; ``filled`` the rows that hold anything, and
     ``filled_near`` those among the first rows of the sheet.
     """
-    width = _width(grid)
-    used = F.array(*[F.count(F.get("cells", F.lit(i))) for i in range(width)]).cast("array<bigint>")
+    used = F.array(*[F.count(F.get("cells", F.lit(i))) for i in range(_width(grid))]).cast("array<bigint>")
     is_filled = F.exists("cells", lambda c: c.isNotNull())
     return grid.groupBy("sheet").agg(
         F.count("*").alias("raw_rows"),
@@ -72,6 +66,10 @@ def column_counts(grid: DataFrame) -> DataFrame:
     )
 
 
+def _width(grid: DataFrame) -> int:
+    return grid.agg(F.max(F.size("cells"))).first()[0] or 0
+
+
 def header_rows(grid: DataFrame) -> DataFrame:
     """``(sheet, header_idx)``: the first of the first 10 filled rows with enough labels, else the first.
 
@@ -79,15 +77,18 @@ def header_rows(grid: DataFrame) -> DataFrame:
     (or all it has) near its start, only that part is ranked. Otherwise all rows are, and Spark
     applies the rank limit before the shuffle, so a huge sheet is not moved to one task.
     """
-    counts = cut(column_counts(grid)).where(F.col("raw_rows") >= MIN_RAW_ROWS)
-    widths = counts.select("sheet", F.size(F.filter("used", lambda n: n > 0)).alias("n_cols"))
-    far = counts.where((F.col("filled_near") < HEADER_SCAN_ROWS) & (F.col("filled_near") < F.col("filled")))
-    near = grid.where(F.col("row_idx") < NEAR_ROWS) if far.isEmpty() else grid
+    # One row per sheet.
+    counts = [r for r in column_counts(grid).collect() if r["raw_rows"] >= MIN_RAW_ROWS]
+    all_near = all(r["filled_near"] >= min(HEADER_SCAN_ROWS, r["filled"]) for r in counts)
+    widths = grid.sparkSession.createDataFrame(
+        [(r["sheet"], sum(n > 0 for n in r["used"])) for r in counts], "sheet string, n_cols int"
+    )
+    near = grid.where(F.col("row_idx") < NEAR_ROWS) if all_near else grid
     place = F.row_number().over(Window.partitionBy("sheet").orderBy("row_idx"))
     first_rows = _filled(near).withColumn("_place", place).where(F.col("_place") <= HEADER_SCAN_ROWS)
     labels = F.size(F.filter("cells", is_label))
     return (
-        first_rows.join(widths, "sheet")
+        first_rows.join(F.broadcast(widths), "sheet")
         .groupBy("sheet")
         .agg(
             F.min(F.when(labels / F.col("n_cols") >= MIN_HEADER_FILL, F.col("row_idx"))).alias("_found"),
@@ -110,26 +111,27 @@ class SheetLayout:
 def sheet_layouts(grid: DataFrame) -> list[SheetLayout]:
     """The usable sheets in name order: at least two used columns and one data row under the header.
 
-    Collects one row per sheet, not cells.
+    Collects one row per sheet, not cells; the grid is read once for all body counts.
     """
-    headers = header_rows(grid)
-    header_cells = grid.join(headers, "sheet").where(F.col("row_idx") == F.col("header_idx")).select("sheet", "cells")
-    body = _filled(grid.join(headers, "sheet").where(F.col("row_idx") > F.col("header_idx")))
-    width = _width(grid)
-    counters = [F.count(F.get("cells", F.lit(i))) for i in range(width)]
-    numbers = [F.count(numeric(F.get("cells", F.lit(i)))) for i in range(width)]
-    bodies = body.groupBy("sheet").agg(
-        F.first("header_idx").alias("header_idx"), F.array(*counters).alias("used"), F.array(*numbers).alias("nums")
+    found = header_rows(grid).collect()
+    headers = F.broadcast(grid.sparkSession.createDataFrame(found, "sheet string, header_idx bigint"))
+    rows = grid.join(headers, "sheet").where(F.col("row_idx") >= F.col("header_idx"))
+    is_body = F.col("row_idx") > F.col("header_idx")
+    cells = [F.when(is_body, F.get("cells", F.lit(i))) for i in range(_width(grid))]
+    bodies = rows.groupBy("sheet").agg(
+        F.first("header_idx").alias("header_idx"),
+        F.first(F.when(~is_body, F.col("cells")), ignorenulls=True).alias("cells"),
+        F.array(*[F.count(c) for c in cells]).alias("used"),
+        F.array(*[F.count(numeric(c)) for c in cells]).alias("nums"),
     )
     layouts = []
-    for row in bodies.join(header_cells, "sheet").orderBy("sheet").collect():
+    for row in bodies.orderBy("sheet").collect():
         kept = [i for i, n in enumerate(row["used"]) if n > 0]
         if len(kept) < MIN_COLUMNS:
             continue
         raw = [row["cells"][i] if i < len(row["cells"]) else None for i in kept]
-        given = ["" if c is None else c for c in raw]
         layout = SheetLayout(row["sheet"], row["header_idx"])
-        for i, name in zip(kept, clean_names(given)):
+        for i, name in zip(kept, clean_names(raw)):
             layout.positions[name] = i
             if row["nums"][i] == row["used"][i]:
                 layout.numeric.add(name)

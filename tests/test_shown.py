@@ -188,3 +188,22 @@ def test_group_sums_match_known_values(spark):
     assert line[-1][1:] == ("2001-08-31", pytest.approx(702947.99, abs=0.01))
     trend = {r.position: r.value for r in board if r.section == "line" and r.item == "o_totalprice Trend"}
     assert trend[59] == pytest.approx(39670289.435, abs=0.01)
+
+
+def test_odd_column_names(spark):
+    rows = [("x", float(i), f"2024-01-{i + 1:02d}") for i in range(9)]
+    df = spark.createDataFrame(rows, ["it's a.b", "c\\d `e`", "day"])
+    got = dashboard(df, "it's").collect()
+    assert {r.section for r in got} == {"meta", "kpi", "bar", "line", "pie", "top"}
+    assert {r.item for r in got if r.section == "pie"} == {"it's a.b"}
+    assert {r.item for r in got if r.section == "line"} == {"c\\d `e`", "c\\d `e` Trend"}
+    assert {r.item for r in got if r.section == "top"} == {"it's a.b", "c\\d `e`"}
+
+
+def test_clean_dashboard_reads_only_used_columns(table):
+    df = table("lineitem")
+    board = dashboard(df, measure="l_quantity", order_by=["l_orderkey", "l_linenumber"])
+    plan = board._jdf.queryExecution().executedPlan().toString()
+    assert "l_suppkey" not in plan and "l_tax" not in plan
+    # Key figures and top rows; bars, pie and trend come from the shared table.
+    assert plan.count("FileScan parquet") == 2

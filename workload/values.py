@@ -71,11 +71,9 @@ def _(t):
 )
 def _(t):
     df = messy_dates(t("orders"))
-
-    def iso(name):
-        return formatting.date_label(prof.parse_dates(df, name, ["o_orderkey"]))
-
-    return df.select("o_orderkey", iso("d_iso").alias("iso"), iso("d_us").alias("us"), iso("d_mix75").alias("mixed"))
+    parsed = prof.parse_dates(df, ["d_iso", "d_us", "d_mix75"], ["o_orderkey"])
+    iso, us, mixed = [formatting.date_label(c) for c in parsed.values()]
+    return df.select("o_orderkey", iso.alias("iso"), us.alias("us"), mixed.alias("mixed"))
 
 
 ODD = "CASE WHEN l_discount = 0 THEN CAST('inf' AS DOUBLE) WHEN l_tax = 0 THEN CAST('nan' AS DOUBLE) ELSE l_extendedprice * l_tax END"
