@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 # What counts as a number in each dialect.
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 CURRENCY = r"^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
+FLOAT_LITERAL = (
+    r"^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
+    r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
+)
 PREFIX = r"^\s*([+-]?(Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?))"
 
 

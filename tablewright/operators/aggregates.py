@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tablewright.functions import names
 from tablewright.functions.formatting import safe_scalar
@@ -47,9 +48,13 @@ def column_function(df: DataFrame, fn: str, name: str) -> DataFrame:
         raise ValueError(f"supported functions: {', '.join(FUNCTIONS)}")
     if name not in df.columns:
         raise ValueError(f"column {name!r} not found")
-    value = double_of(df, name, currency)
-    if not is_text_type(df.schema[name].dataType):
-        value = finite(value)
+    dtype = df.schema[name].dataType
+    if is_text_type(dtype):
+        value = currency(column(name))
+    elif isinstance(dtype, BooleanType):  # a truth value is no number here
+        value = F.lit(None).cast("double")
+    else:
+        value = finite(double_of(df, name))
     if fn == "MEDIAN":
         found = exact_median(df, value).select(F.col("median").alias("_r"))
     else:

@@ -49,33 +49,43 @@ def pie_slices(df: DataFrame, x: str, y: str, tie: list[str], slices: int = PIE_
     """``(rank, label, value)``: with more than ``slices`` rows the largest by size plus ``Other``.
 
     The row that would be last becomes ``Other`` and gets the total of everything not shown, so the
-    top list is read once; count and total come from one scalar aggregate.
+    top list is read once; count and total come from one scalar aggregate. Fewer rows stay as they
+    are, in the order of ``tie``.
     """
-    points = df.select(*[column(t) for t in tie], axis_label(df, x).alias("label"), axis_value(df, y).alias("value"))
+    points = xy_series(df, x, y, tie)
     totals = points.agg(F.struct(F.count("*").alias("n"), F.sum(F.abs("value")).alias("size")).alias("t")).scalar()
-    order = [F.desc("_size"), *[column(t) for t in tie]]
-    top = points.withColumn("_size", F.abs("value")).orderBy(*order).limit(slices)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("_all", totals)
-    shown = F.sum(F.when(F.col("rank") < slices, F.col("_size"))).over(Window.partitionBy(F.lit(0)))
+    ranked = _top_points(points, F.abs("value"), tie, slices, totals)
     cropped = F.col("_all.n") > slices
+    shown = F.sum(F.when(F.col("rank") < slices, F.abs("value"))).over(Window.partitionBy(F.lit(0)))
     is_other = cropped & (F.col("rank") == slices)
     return ranked.withColumn("_shown", shown).select(
         "rank",
         F.when(is_other, F.lit("Other")).otherwise(F.col("label")).alias("label"),
         F.round(
             F.when(is_other, F.col("_all.size") - F.col("_shown"))
-            .when(cropped, F.col("_size"))
+            .when(cropped, F.abs("value"))
             .otherwise(F.col("value")),
             4,
         ).alias("value"),
     )
 
 
+def _top_points(points: DataFrame, size: Column, tie: list[str], k: int, totals: Column) -> DataFrame:
+    """The ``k`` largest points, ranked by size if any were left out and else by ``tie``.
+
+    ``totals`` is a scalar struct with the number of points ``n``; it is kept as ``_all``.
+    """
+    last = [column(t) for t in tie]
+    top = points.orderBy(size.desc(), *last).limit(k).withColumn("_all", totals)
+    order = [F.when(F.col("_all.n") > k, size).desc(), *last]
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def radar_points(df: DataFrame, x: str, y: str, tie: list[str], points: int = RADAR_POINTS) -> DataFrame:
-    """``(rank, label, value)``: the points with the largest values."""
-    order = [F.desc("value"), *[column(t) for t in tie]]
-    top = xy_series(df, x, y, tie).orderBy(*order).limit(points)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "label", "value")
+    """``(rank, label, value)``: the points with the largest values, or all in order if they are few."""
+    series = xy_series(df, x, y, tie)
+    total = series.agg(F.struct(F.count("*").alias("n")).alias("t")).scalar()
+    return _top_points(series, F.col("value"), tie, points, total).select("rank", "label", "value")
 
 
 def bubble(df: DataFrame, x: str, y: str, keep: list[str] | None = None) -> DataFrame:

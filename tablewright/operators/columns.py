@@ -23,8 +23,8 @@ def uppercase_columns(df: DataFrame) -> DataFrame:
 
 
 def add_column(df: DataFrame, name: str | None = None, default="") -> DataFrame:
-    """A new constant column; its default name counts the columns that are there."""
-    name = name or f"Column_{len(df.columns) + 1}"
+    """A new constant column; its default name counts the data columns that are there."""
+    name = name or f"Column_{len([c for c in df.columns if c != INDEX]) + 1}"
     if name in df.columns:
         raise ValueError(f"column {name!r} already exists")
     return df.withColumn(name, F.lit(default))

@@ -158,7 +158,9 @@ def ranked_bars(dash: DataFrame) -> DataFrame:
 
     # The window runs over the few rows of the dashboard.
     tagged = dash.where("section in ('meta', 'top')").withColumns({"_x": named("dimension"), "_y": named("measure")})
-    text = F.coalesce("label", F.col("value").cast("string"))
+    whole = F.col("value") == F.floor("value")
+    number = F.when(whole, F.col("value").cast("decimal(38,0)").cast("string")).otherwise(F.col("value").cast("string"))
+    text = F.coalesce("label", number)
     return (
         tagged.where("section = 'top'")
         .groupBy((F.col("position") + 1).alias("rank"))

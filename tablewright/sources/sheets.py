@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.names import clean_names
-from tablewright.functions.parsing import NUMBER, column, is_text_type, numeric
+from tablewright.functions.parsing import FLOAT_LITERAL, column, is_text_type, numeric
 
 # The limits of header detection and sheet validity.
 HEADER_SCAN_ROWS = 10
@@ -30,7 +30,7 @@ def is_label(cell: Column) -> Column:
     """Non-blank text of at most 80 characters that is not a number."""
     text = F.regexp_replace(cell, r"^\s+|\s+$", "")
     return F.coalesce(
-        (F.length(text) > 0) & (F.length(text) <= MAX_LABEL) & ~cell.rlike(NUMBER) & (F.lower(text) != "nan"), F.lit(False)
+        (F.length(text) > 0) & (F.length(text) <= MAX_LABEL) & ~cell.rlike(FLOAT_LITERAL), F.lit(False)
     )
 
 
@@ -100,7 +100,7 @@ def header_rows(grid: DataFrame) -> DataFrame:
 
 @dataclass
 class SheetLayout:
-    """Where a sheet's header is and which table column each kept cell position becomes."""
+    """Where a sheet's header is, and the cell position of each header text that has values."""
 
     sheet: str
     header_idx: int
@@ -129,9 +129,10 @@ def sheet_layouts(grid: DataFrame) -> list[SheetLayout]:
         kept = [i for i, n in enumerate(row["used"]) if n > 0]
         if len(kept) < MIN_COLUMNS:
             continue
-        raw = [row["cells"][i] if i < len(row["cells"]) else None for i in kept]
+        headers_of = _header_texts(row["cells"], len(row["used"]))
         layout = SheetLayout(row["sheet"], row["header_idx"])
-        for i, name in zip(kept, clean_names(raw)):
+        for i in kept:
+            name = headers_of[i]
             layout.positions[name] = i
             if row["nums"][i] == row["used"][i]:
                 layout.numeric.add(name)
@@ -139,29 +140,43 @@ def sheet_layouts(grid: DataFrame) -> list[SheetLayout]:
     return layouts
 
 
+def _header_texts(cells: list, width: int) -> list[str]:
+    """One distinct text per position: blanks are named by position, repeats are numbered."""
+    texts: list[str] = []
+    for i in range(width):
+        text = cells[i] if i < len(cells) and cells[i] is not None else f"Unnamed: {i}"
+        repeats = 0
+        while (name := f"{text}.{repeats}" if repeats else text) in texts:
+            repeats += 1
+        texts.append(name)
+    return texts
+
+
 def normalise(grid: DataFrame) -> DataFrame:
     """All usable sheets as one table.
 
-    Columns appear in first-seen order and are matched by name; with more than one usable sheet a
-    ``sheet`` column comes first. A column is DOUBLE if all its cells, in all sheets that have it,
-    are numbers. ``row_idx`` keeps the position in the sheet.
+    Columns appear in first-seen order and are matched by header text; then all names are cleaned.
+    With more than one usable sheet a ``sheet`` column comes first. A column is DOUBLE if all its
+    cells, in all sheets that have it, are numbers. ``row_idx`` keeps the position in the sheet.
     """
     layouts = sheet_layouts(grid)
     if not layouts:
         raise ValueError("no usable data sheets found")
-    names = list(dict.fromkeys(n for lay in layouts for n in lay.positions))
-    whole = {n for n in names if all(n in lay.numeric for lay in layouts if n in lay.positions)}
+    headers = list(dict.fromkeys(n for lay in layouts for n in lay.positions))
+    tags = [SHEET_TAG] if len(layouts) > 1 else []
+    clean = clean_names(tags + headers)
     plan = grid.sparkSession.createDataFrame(
-        [(lay.sheet, lay.header_idx, [lay.positions.get(n) for n in names]) for lay in layouts],
+        [(lay.sheet, lay.header_idx, [lay.positions.get(n) for n in headers]) for lay in layouts],
         "sheet string, header_idx bigint, _at array<int>",
     )
     # The plan came through the driver, one row per sheet, so it is small.
     body = _filled(grid.join(F.broadcast(plan), "sheet").where(F.col("row_idx") > F.col("header_idx")))
     picked = []
-    for j, n in enumerate(names):
+    for j, (header, name) in enumerate(zip(headers, clean[len(tags) :])):
         cell = F.get("cells", F.col("_at")[j])
-        picked.append((numeric(cell) if n in whole else cell).alias(n))
-    tag = [F.col("sheet").alias(clean_names([SHEET_TAG])[0])] if len(layouts) > 1 else []
+        whole = all(header in lay.numeric for lay in layouts if header in lay.positions)
+        picked.append((numeric(cell) if whole else cell).alias(name))
+    tag = [F.col("sheet").alias(name) for name in clean[: len(tags)]]
     return body.select(*tag, "row_idx", *picked)
 
 

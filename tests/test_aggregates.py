@@ -30,6 +30,20 @@ def test_function_errors(spark):
             agg.column_function_value(df, fn, "c")
 
 
+def test_truth_values_are_not_numbers_for_functions(spark):
+    df = spark.createDataFrame([(True,), (False,)], "c boolean")
+    with pytest.raises(ValueError, match="no numeric"):
+        agg.column_function_value(df, "SUM", "c")
+
+
+def test_quantiles_of_extreme_values(spark):
+    v = [1e300, -1e300, 5e-324, 0.0, 1.0, 1e308, -1e308, float("inf"), float("-inf")] * 30 + list(range(100))
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    got = exact_quantiles(df, F.col("v"), [0.25, 0.5, 0.6], limit=10).first()
+    assert got.n == len(v)
+    assert np.allclose(got.quantiles, np.quantile(v, [0.25, 0.5, 0.6]))
+
+
 def test_kpi_of_single_value_has_no_deviation(spark):
     df = spark.createDataFrame([(1.0, None), (None, None)], "a double, b double")
     got = {(r.column, r.stat): r.value for r in agg.kpi_block(df, ["a", "b"]).collect()}

@@ -27,7 +27,8 @@ def test_axis_values(points):
 
 def test_pie_shows_all_when_few(points):
     got = [(r.label, r.value) for r in charts.pie_slices(points, "x", "y", ["row_index"]).orderBy("rank").collect()]
-    assert len(got) == 6 and ("l3", -20.0) in got
+    assert got == [("l0", 5.0), ("l1", 1000.0), ("l2", 0.0), ("l3", -20.0), ("l4", 7.0), ("l5", 0.0)]
+    assert [r.label for r in charts.radar_points(points, "x", "y", ["row_index"]).orderBy("rank").collect()] == [f"l{i}" for i in range(6)]
 
 
 def test_pie_other_reconciles(spark):
@@ -174,7 +175,7 @@ def test_recipe_rows_functions_and_charts(spark):
     assert [tuple(r) for r in more.collect()] == [(1, "c", "9", "14.0"), (0, "b", "5", "")]
     assert run_recipe(df, [{"action": "function", "function": "avg", "column": "y"}]).first().result == 3.0
     pie = run_recipe(df, [{"action": "chart", "chartType": "pie", "xCol": 0, "yCol": 1}])
-    assert [r.label for r in pie.orderBy("rank").collect()] == ["a", "b"]
+    assert [r.label for r in pie.orderBy("rank").collect()] == ["b", "a"]
 
 
 def test_group_sums_match_known_values(spark):
@@ -207,3 +208,8 @@ def test_clean_dashboard_reads_only_used_columns(table):
     assert "l_suppkey" not in plan and "l_tax" not in plan
     # Key figures and top rows; bars, pie and trend come from the shared table.
     assert plan.count("FileScan parquet") == 2
+
+
+def test_ranked_bars_without_categories(spark):
+    board = dashboard(spark.createDataFrame([(1.0, 2), (5.5, 3)], "v double, w int"))
+    assert [tuple(r) for r in views.ranked_bars(board).orderBy("rank").collect()] == [(1, "5.5", 5.5), (2, "1", 1.0)]

@@ -144,6 +144,14 @@ def test_sheets_are_united_by_name(spark):
     assert rows_of(df.where("sheet = 'b'"), "row_idx") == [("b", 1, None, "x1", None, 9.0), ("b", 2, None, "7", None, 8.0)]
 
 
+def test_headers_are_matched_as_written_then_cleaned(spark):
+    a = [["Qty", "qty ", None, "Qty"], ["1", "2", "3", "4"]]
+    b = [["Qty", "Other", None, None], ["5", "6", "7", None]]
+    df = sheets.normalise(grid(spark, a=a, b=b))
+    assert df.columns == ["sheet", "row_idx", "qty", "qty_1", "col_3", "qty_1_1", "other"]
+    assert rows_of(df, "sheet") == [("a", 1, 1.0, 2.0, 3.0, 4.0, None), ("b", 1, 5.0, None, 7.0, None, 6.0)]
+
+
 def test_leading_blank_rows_do_not_shift_the_header(spark):
     lines = [[None, None], [None, None], ["A", "B"], ["1", "2"]]
     assert rows_of(sheets.normalise(grid(spark, s=lines))) == [(3, 1.0, 2.0)]
@@ -166,8 +174,8 @@ def test_no_usable_sheet(spark):
 
 
 def test_label_rule(values):
-    got = values(["Name", " ", "12", "1e5", "nan", "x" * 81, None, "inf"], sheets.is_label)
-    assert got == [True, False, False, False, False, False, False, False]
+    got = values(["Name", " ", "12", "1e5", "nan", "x" * 81, None, "inf", "1_000", "1,000", "$5"], sheets.is_label)
+    assert got == [True, False, False, False, False, False, False, False, False, True, True]
 
 
 def test_text_grid(spark):

@@ -177,7 +177,7 @@ def test_stride(spark):
 
 
 def test_columns(spark, people):
-    assert columns.add_column(people).columns[-1] == "Column_5"
+    assert columns.add_column(people).columns[-1] == "Column_4"
     with pytest.raises(ValueError, match="exists"):
         columns.add_column(people, "pay")
     assert columns.uppercase_columns(people).columns == ["ROW_INDEX", "NAME", "PAY", "TAG"]
