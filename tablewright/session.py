@@ -44,6 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` once as a Parquet table in the shared folder and goes on from the written copy.
 
@@ -54,6 +59,6 @@ def stored(df: DataFrame) -> DataFrame:
     """
     if any(isinstance(f.dataType, NullType) for f in df.schema.fields):  # Parquet has no untyped column
         return cut(df)
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

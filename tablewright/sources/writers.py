@@ -58,7 +58,8 @@ def write_delimited(df: DataFrame, path: str, columns: list[str] | None = None)
 def load_indexed(df: DataFrame, path: str, order_by: list[str] | None = None, index: str = INDEX) -> DataFrame:
     """Writes the table with a dense row index and returns it as read back.
 
-    Files stay in index order, so their footers let a page or range filter skip all other files.
+    Rows are written in contiguous index ranges, so file statistics let a page or range filter skip
+    most of the files.
     """
     dense_index(df, order_by, index).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -10,15 +10,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+class Tables:
+    """The test tables of one scale: ``tables("orders")`` reads one of them."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark = spark
+        self.folder = folder
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+
 def query(name: str, sql: str | None = None):
-    """Registers ``fn(table)``, where ``table(name)`` reads a test table, under ``name``."""
+    """Registers ``fn(tables)`` under ``name``, with the SQL that gives the same result."""
 
     def register(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-
         assert name not in QUERIES, name
-        QUERIES[name] = run
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return fn

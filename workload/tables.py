@@ -9,7 +9,9 @@ from tablewright.operators import cleaning, columns, edits, filters, ordering
 from tablewright.operators.profile import coerce, profile
 from tablewright.operators.rowindex import dense_index, file_index, running_total
 from tablewright.plans.recipe import run_recipe
+from tablewright.session import scratch_path
 from tablewright.sources import catalog, readers, sheets, writers
+from tablewright.streaming.ingest import ingest_folder, ingested
 from workload.derived import (
     MESSY_CUSTOMERS_SQL,
     messy_customers,
@@ -487,6 +489,41 @@ def _(t):
     )
 
 
+@query(
+    "csv_round_trip",
+    """SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, c_mktsegment, CAST(c_nationkey AS DOUBLE) AS c_nationkey,
+      c_acctbal FROM customer""",
+)
+def _(t):
+    path = scratch_path(t.spark)
+    writers.write_delimited(t("customer"), path, ["c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal"])
+    return readers.read_table(t.spark, path, fmt="csv")
+
+
+@query("indexed_load", f"SELECT row_index, o_orderkey, o_custkey FROM {ORDERS} WHERE row_index BETWEEN 500 AND 999")
+def _(t):
+    path = scratch_path(t.spark)
+    columns = t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    loaded = writers.load_indexed(columns, path, ["o_orderdate", "o_orderkey"])
+    return ordering.page(loaded, 2, 500).drop("o_orderdate")
+
+
+@query("catalog_ingest", f"SELECT row_index, o_orderkey, o_orderstatus, o_totalprice FROM {ORDERS}")
+def _(t):
+    datasets = catalog.Catalog(t.spark, scratch_path(t.spark))
+    dataset = datasets.register("owner", t.path("orders"))
+    datasets.ingest(dataset, "owner", order_by=["o_orderdate", "o_orderkey"])
+    return datasets.rows(dataset, "owner").select("row_index", "o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("incremental_ingest", "SELECT event_id AS row_index, event_id, event_type, value FROM events")
+def _(t):
+    target = scratch_path(t.spark)
+    only = {"pathGlobFilter": "events.parquet"}
+    ingest_folder(t.spark, t.folder, t("events").schema, target, f"{target}/mark", "parquet", only).awaitTermination()
+    return ingested(t.spark, target).select("row_index", "event_id", "event_type", "value")
+
+
 # -- recipes ----------------------------------------------------------------------------------------------
 
 
