@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tablewright.functions import formatting, parsing
 from tablewright.operators import aggregates as agg
 from tablewright.operators import profile as prof
+from tablewright.operators.quantiles import exact_median, exact_quantiles
+from tablewright.operators.rowindex import dense_index
 from workload.derived import (
     MESSY_DATES_SQL,
     SIZE_CLASSES_SQL,
@@ -281,6 +283,24 @@ def _(t):
     return reduce(DataFrame.union, [agg.column_function(df, fn, "price_txt") for fn in ("avg", "count", "median", "min")])
 
 
+@query("median_by_narrowing", "SELECT count(*) AS n, round(median(l_extendedprice), 4) AS median FROM lineitem")
+def _(t):
+    found = exact_median(t("lineitem"), F.col("l_extendedprice"), limit=1000)
+    return found.select("n", F.round("median", 4).alias("median"))
+
+
+@query(
+    "quantiles_by_narrowing",
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, round(quantile_cont(l_extendedprice, 0.1), 4) AS low,
+      round(median(l_extendedprice), 4) AS middle, round(quantile_cont(l_extendedprice, 0.9), 4) AS high FROM lineitem GROUP BY 1, 2""",
+)
+def _(t):
+    by = ["l_returnflag", "l_linestatus"]
+    found = exact_quantiles(t("lineitem"), F.col("l_extendedprice"), [0.1, 0.5, 0.9], by, limit=1000)
+    parts = [F.round(F.col("quantiles")[i], 4).alias(name) for i, name in enumerate(("low", "middle", "high"))]
+    return found.select(*by, "n", *parts)
+
+
 def kpi_sql(source: str, columns: list[str]) -> str:
     calls = {"sum": "sum", "mean": "avg", "min": "min", "max": "max", "std": "stddev_samp"}
     return " UNION ALL ".join(
@@ -375,8 +395,6 @@ CELLS = "(SELECT row_number() OVER (ORDER BY c_custkey) AS r, * FROM customer)"
     UNION ALL SELECT '=VARIANCE(D1,D2)', CAST(round((a - b) * (a - b) / 4, 4) AS VARCHAR) FROM v""",
 )
 def _(t):
-    from tablewright.operators.rowindex import dense_index
-
     table = dense_index(t("customer"), ["c_custkey"])
     formulas = ["=SUM(D1,D2,2.5)", "=MAX(D1,D2)", "=MEDIAN(D1,D2,C3)", "=COUNT(D1,B2,Z9,x)", "=AVERAGE(D1,B2)", "=VARIANCE(D1,D2)"]
     return reduce(DataFrame.union, [agg.cell_formula(table, f) for f in formulas])
