@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.formatting import date_label, safe_scalar
@@ -13,10 +13,7 @@ WEEKLY_ABOVE = 120
 LAST_PERIODS = 60
 MIN_WINDOW = 3
 FREQUENCIES = {"D": "daily", "W": "weekly", "M": "monthly"}
-
-
-def frequency(n: Column) -> Column:
-    return F.when(n > MONTHLY_ABOVE, "M").when(n > WEEKLY_ABOVE, "W").otherwise("D")
+FREQUENCY = f"CASE WHEN {{n}} > {MONTHLY_ABOVE} THEN 'M' WHEN {{n}} > {WEEKLY_ABOVE} THEN 'W' ELSE 'D' END"
 
 
 def daily_sums(df: DataFrame, time: Column, value: Column) -> DataFrame:
@@ -45,30 +42,35 @@ def resample(
 
 def trend_of_days(days: DataFrame, freq: str | None = None, last: int = LAST_PERIODS) -> DataFrame:
     """:func:`resample` from daily sums; their number is bounded by the calendar."""
-    every = Window.partitionBy(F.lit(0))
-    unit = F.lit(freq) if freq else frequency(F.sum("_n").over(every))
+    chosen = f"'{freq}'" if freq else FREQUENCY.format(n="sum(_n) OVER ()")
     # A period is identified by its label for days and weeks, by its first day for months.
-    start = (
-        F.when(F.col("freq") == "M", F.trunc("_day", "MM"))
-        .when(F.col("freq") == "W", F.next_day(F.date_sub("_day", 1), "SUN"))
-        .otherwise(F.col("_day"))
-    )
-    periods = days.withColumn("freq", unit).groupBy("freq", start.alias("_start")).agg(F.sum("_sum").alias("_sum"))
-    following = F.lead("_start").over(Window.orderBy("_start"))
-    gaps = F.expr(
-        """CASE freq
-             WHEN 'M' THEN sequence(_start, coalesce(add_months(_next, -1), _start), interval 1 month)
-             WHEN 'W' THEN sequence(_start, coalesce(date_sub(_next, 7), _start), interval 7 day)
-             ELSE sequence(_start, coalesce(date_sub(_next, 1), _start), interval 1 day)
-           END"""
+    periods = (
+        days.selectExpr("_day", "_sum", f"{chosen} AS freq")
+        .selectExpr(
+            "freq",
+            "_sum",
+            """CASE freq WHEN 'M' THEN trunc(_day, 'MM')
+                 WHEN 'W' THEN next_day(date_sub(_day, 1), 'SUN') ELSE _day END AS _start""",
+        )
+        .groupBy("freq", "_start")
+        .agg(F.sum("_sum").alias("_sum"))
     )
+    # Each period also emits the empty ones up to its successor.
     filled = (
-        periods.withColumn("_next", following)
-        .select("freq", "_start", "_sum", F.explode(gaps).alias("_at"))
-        .select(
+        periods.selectExpr("*", "lead(_start) OVER (ORDER BY _start) AS _next")
+        .selectExpr(
             "freq",
-            F.when(F.col("freq") == "M", F.last_day("_at")).otherwise(F.col("_at")).alias("period"),
-            F.when(F.col("_at") == F.col("_start"), F.col("_sum")).otherwise(F.lit(0.0)).alias("value"),
+            "_start",
+            "_sum",
+            """explode(CASE freq
+                 WHEN 'M' THEN sequence(_start, coalesce(add_months(_next, -1), _start), interval 1 month)
+                 WHEN 'W' THEN sequence(_start, coalesce(date_sub(_next, 7), _start), interval 7 day)
+                 ELSE sequence(_start, coalesce(date_sub(_next, 1), _start), interval 1 day) END) AS _at""",
+        )
+        .selectExpr(
+            "freq",
+            "CASE freq WHEN 'M' THEN last_day(_at) ELSE _at END AS period",
+            "CASE WHEN _at = _start THEN _sum ELSE 0D END AS value",
         )
     )
     return rolling_trend(filled.orderBy(F.desc("period")).limit(last), last)
@@ -76,24 +78,22 @@ def trend_of_days(days: DataFrame, freq: str | None = None, last: int = LAST_PER
 
 def rolling_trend(periods: DataFrame, last: int = LAST_PERIODS) -> DataFrame:
     """Adds ``position`` and the trailing mean over ``max(3, rows // 10)`` of at most ``last`` rows."""
-    ordered = Window.orderBy("period")
-    every = Window.partitionBy(F.lit(0))
-    rows = F.count("*").over(every)
     # A frame needs a constant width; the few possible widths share one sort.
-    trend = F.lit(None).cast("double")
-    for width in range(max(MIN_WINDOW, last // 10), MIN_WINDOW - 1, -1):
-        fits = F.greatest(F.lit(MIN_WINDOW), F.floor(rows / 10)) == width
-        trend = F.when(fits, F.avg("value").over(ordered.rowsBetween(1 - width, 0))).otherwise(trend)
-    return (
-        periods.withColumn("position", F.row_number().over(ordered) - 1)
-        .withColumn("trend", trend)
-        .select(
-            "position",
-            date_label(F.col("period")).alias("period"),
-            "freq",
-            safe_scalar(F.col("value")).alias("value"),
-            safe_scalar(F.col("trend")).alias("trend"),
-        )
+    widths = range(MIN_WINDOW, max(MIN_WINDOW, last // 10) + 1)
+    frame = "WHEN {w} THEN avg(value) OVER (ORDER BY period ROWS BETWEEN {before} PRECEDING AND CURRENT ROW)"
+    means = " ".join(frame.format(w=w, before=w - 1) for w in widths)
+    return periods.selectExpr(
+        "CAST(row_number() OVER (ORDER BY period) - 1 AS INT) AS position",
+        "period",
+        "freq",
+        "value",
+        f"CASE greatest({MIN_WINDOW}, CAST(floor(count(*) OVER () / 10) AS INT)) {means} END AS trend",
+    ).select(
+        "position",
+        date_label(F.col("period")).alias("period"),
+        "freq",
+        safe_scalar(F.col("value")).alias("value"),
+        safe_scalar(F.col("trend")).alias("trend"),
     )
 
 

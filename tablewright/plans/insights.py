@@ -14,35 +14,29 @@ NULL_WARNING = 5
 def _facts(dash: DataFrame) -> DataFrame:
     """One row with everything the texts and cards need; one aggregate over a few hundred rows."""
 
-    def pick(what: str, section: str, item: str | None = None, position: int | None = None, stat: str | None = None):
-        hit = F.col("section") == section
-        if item is not None:
-            hit = hit & (F.col("item") == item)
-        if position is not None:
-            hit = hit & (F.col("position") == position)
-        if stat is not None:
-            hit = hit & (F.col("label") == stat)
-        return F.max(F.when(hit, F.col(what)))
-
-    line = (F.col("section") == "line") & ~F.col("item").endswith(" Trend")
-    pie = F.col("section") == "pie"
-    return dash.agg(
-        pick("value", "meta", "rows").alias("rows"),
-        pick("value", "meta", "cols").alias("cols"),
-        pick("value", "meta", "null_pct").alias("null_pct"),
-        pick("label", "meta", "dimension").alias("x"),
-        pick("label", "meta", "measure").alias("y"),
-        pick("item", "kpi", position=0).alias("kpi"),
-        *[pick("value", "kpi", position=0, stat=s).alias(f"k_{s}") for s in ("sum", "mean", "min", "max")],
-        pick("label", "pie", position=0).alias("pie_label"),
-        pick("value", "pie", position=0).alias("pie_first"),
-        F.sum(F.when(pie, F.col("value"))).alias("pie_total"),
-        pick("label", "bar", position=0).alias("bar_label"),
-        pick("value", "bar", position=0).alias("bar_first"),
-        F.min_by("value", F.when(line, F.col("position"))).alias("line_first"),
-        F.max_by("value", F.when(line, F.col("position"))).alias("line_last"),
-        F.count_if(line).alias("line_n"),
-    )
+    def pick(what: str, condition: str, name: str) -> str:
+        return f"max({what}) FILTER (WHERE {condition}) AS {name}"
+
+    first_kpi = "section = 'kpi' AND position = 0"
+    line = "section = 'line' AND NOT endswith(item, ' Trend')"
+    facts = [
+        pick("value", "section = 'meta' AND item = 'rows'", "rows"),
+        pick("value", "section = 'meta' AND item = 'cols'", "cols"),
+        pick("value", "section = 'meta' AND item = 'null_pct'", "null_pct"),
+        pick("label", "section = 'meta' AND item = 'dimension'", "x"),
+        pick("label", "section = 'meta' AND item = 'measure'", "y"),
+        pick("item", first_kpi, "kpi"),
+        *[pick("value", f"{first_kpi} AND label = '{s}'", f"k_{s}") for s in ("sum", "mean", "min", "max")],
+        pick("label", "section = 'pie' AND position = 0", "pie_label"),
+        pick("value", "section = 'pie' AND position = 0", "pie_first"),
+        "sum(value) FILTER (WHERE section = 'pie') AS pie_total",
+        pick("label", "section = 'bar' AND position = 0", "bar_label"),
+        pick("value", "section = 'bar' AND position = 0", "bar_first"),
+        f"min_by(value, position) FILTER (WHERE {line}) AS line_first",
+        f"max_by(value, position) FILTER (WHERE {line}) AS line_last",
+        f"count(*) FILTER (WHERE {line}) AS line_n",
+    ]
+    return dash.selectExpr(*facts)
 
 
 def _fixed(value: Column, places: int) -> Column:
