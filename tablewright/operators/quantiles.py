@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.rowindex import running_total
-from tablewright.session import cut
+from tablewright.session import broadcast_if_small, cut
 
 # Values one task may hold for a group; without groups there is a single such buffer.
 GROUP_LIMIT = 250_000
@@ -51,7 +51,8 @@ def exact_quantiles(
     ranked = _ranked(rows, large, probs, by, limit)
     if not by:
         return ranked
-    return _direct(rows.join(large.select(*by), by, "left_anti"), probs, by).unionByName(ranked)
+    small = rows.join(broadcast_if_small(large.select(*by)), by, "left_anti")
+    return _direct(small, probs, by).unionByName(ranked)
 
 
 def exact_median(df: DataFrame, value: Column, limit: int | None = None) -> DataFrame:
@@ -100,11 +101,11 @@ def _ranked(rows: DataFrame, large: DataFrame, probs: list[float], by: list[str]
 def _inside(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
     """``(*by, _v, _lo, _hi)``: rows that lie in an interval of their group, at most one each.
 
-    The join carries no hint: Spark broadcasts the intervals when they are few and splits skewed
-    partitions when they are not. Without groups the handful of intervals is a literal.
+    Intervals are broadcast while they are few; beyond that Spark splits skewed partitions. Without
+    groups the handful of intervals is a literal.
     """
     if by:
-        near = state.select(*by, "_lo", "_hi")
+        near = broadcast_if_small(state.select(*by, "_lo", "_hi"))
         return rows.join(near, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     ends = [F.struct(F.lit(r["_lo"]).alias("_lo"), F.lit(r["_hi"]).alias("_hi")) for r in state.select("_lo", "_hi").collect()]
     intervals = F.array(*ends).cast("array<struct<_lo:double,_hi:double>>")

@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.parsing import column
-from tablewright.session import stored
+from tablewright.session import broadcast_if_small, stored
 
 INDEX = "row_index"
-BROADCAST_FILES = 200_000  # a path and an offset each, some 40 MB
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the place in the partition in its low 33 bits
 
 
@@ -64,9 +63,7 @@ def file_index(df: DataFrame, name: str = INDEX) -> DataFrame:
     sizes = tagged.groupBy("_file").agg((F.max("_row") + 1).alias("_size"))
     ended = running_total(sizes, ["_file"], "_size", "_end")
     offsets = ended.select("_file", (F.col("_end") - F.col("_size")).alias("_before"))
-    if ended.count() <= BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
-    return tagged.join(offsets, "_file").select((F.col("_before") + F.col("_row")).alias(name), *_cells(df))
+    return tagged.join(broadcast_if_small(offsets), "_file").select((F.col("_before") + F.col("_row")).alias(name), *_cells(df))
 
 
 def running_total(df: DataFrame, order_by: list, value: str, name: str) -> DataFrame:

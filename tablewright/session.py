@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
 
 
@@ -44,6 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows of a written side up to which a join is told to broadcast it: keys and a few numbers each,
+# so some tens of MB. Larger sides are left to Spark.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(written: DataFrame) -> DataFrame:
+    """Marks a table that is already written for broadcast, if counting shows that it is small.
+
+    Spark's own estimate of such a table goes back to the data it was made from, so without the mark
+    it would shuffle the other, large side.
+    """
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path below the shared folder."""
     return f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
