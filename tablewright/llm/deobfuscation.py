@@ -48,9 +48,13 @@ LOOKALIKES = {
 
 # Costs of the channel, in nats.
 LOOKALIKE_COST = 1.0
-REPEAT_COST = 0.3
-DROP_COST = 1.2
-BREAK_COST = 2.0
+DOUBLE_COST = 5.0  # the second of two equal characters is an insertion
+REPEAT_COST = 0.3  # each further one
+LOOKALIKE_DROP_COST = 8.0
+SEPARATOR_DROP_COST = 0.5
+BREAK_COST = 4.0
+SPACE_DROP_COST = 0.2
+SPACE_BREAK_COST = 0.7
 SMOOTHING = 0.01
 
 _CLASS = np.zeros(0x250, np.int64)
@@ -108,15 +112,15 @@ class Restorer:
     def options(self, token: str, at: int) -> list[tuple[str, float]]:
         """What the character may stand for: letters, nothing (``""``) or a break (``" "``), with their costs."""
         c = token[at]
+        again = REPEAT_COST if token[max(at - 2, 0) : at] == c + c else DOUBLE_COST if at and token[at - 1] == c else inf
         if c in _INDEX:
-            out = [(c, 0.0)]
-            if at and token[at - 1] == c:
-                out.append(("", REPEAT_COST))
-            return out
+            return [(c, 0.0), ("", again)] if again < inf else [(c, 0.0)]
+        if c in " \t":
+            return [("", SPACE_DROP_COST), (" ", SPACE_BREAK_COST)]
         if c.isalpha():
             return [(" ", BREAK_COST)]
         out = [(x, LOOKALIKE_COST) for x in LOOKALIKES.get(c, "")]
-        out.append(("", REPEAT_COST if at and token[at - 1] == c else DROP_COST))
+        out.append(("", min(again, LOOKALIKE_DROP_COST if out else SEPARATOR_DROP_COST)))
         out.append((" ", BREAK_COST))
         return out
 
@@ -152,8 +156,16 @@ def is_plain(token: str) -> bool:
 
 
 def spaced_words(text: str, restore: Restorer) -> list[str]:
-    """Words restored from runs of single characters such as ``i d i o t``."""
-    return [w for m in SPACED.finditer(text) for w in restore(re.sub(r"[ \t]", "", m.group(0))).split()]
+    """Words restored from runs of single characters such as ``i d i o t``.
+
+    Where words begin in such a run is unsure, so the eight letters from each place on are given as well.
+    """
+    out = []
+    for m in SPACED.finditer(text):
+        words = restore(m.group(0)).split()
+        joined = "".join(words)
+        out += [*words, *(joined[i : i + 8] for i in range(1, len(joined) - 2))]
+    return out
 
 
 def restored_words(token: str, restore: Restorer) -> list[str]:
@@ -174,7 +186,9 @@ def restored_words(token: str, restore: Restorer) -> list[str]:
 
 def restore_text(text: str, restore: Restorer) -> str:
     """A whole text with its disguised words restored; white space and plain words stay."""
-    text = SPACED.sub(lambda m: restore(re.sub(r"[ \t]", "", m.group(0))), text)
-    return re.sub(r"\S+", lambda m: m.group(0) if is_plain(m.group(0)) or not any(c.isalpha() for c in m.group(0)) else " ".join(restored_words(m.group(0), restore)[:1]) or m.group(0), text)
+    text = SPACED.sub(lambda m: restore(m.group(0)), text)
 
+    def word(m: re.Match) -> str:
+        return m.group(0) if is_plain(m.group(0)) else " ".join(restored_words(m.group(0), restore)[:1]) or m.group(0)
 
+    return re.sub(r"\S+", word, text)

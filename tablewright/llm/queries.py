@@ -12,6 +12,7 @@ from tablewright.llm.common import table
 from tablewright.llm.decontamination import flag_contamination
 from tablewright.llm.neardup import near_duplicate_classes
 from tablewright.llm.packing import pack_documents
+from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 PACKING_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +21,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", "text")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = fit_toxicity(docs, table(spark, folder, "labels"), ~held_out(5, 0))
+    return score_toxicity(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_classes(documents(spark, folder)).drop("row")
 
@@ -41,6 +48,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_near_duplicates": op3_near_duplicates,
     "op8_curve_packing": op8_curve_packing,
     "op10_decontamination": op10_decontamination,
