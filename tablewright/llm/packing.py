@@ -25,8 +25,8 @@ LENGTH = 2048
 DIMS = 4
 BITS = 12
 END_ID = 1
-#: Bytes of chunks and ids that a worker remembers; beyond it the memory starts anew.
-CACHE_CHUNKS = 400_000
+#: Chunks that a worker remembers, about 200 bytes each; beyond it the memory starts anew.
+CACHE_CHUNKS = 1_000_000
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -91,16 +91,18 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.known: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian numbers of ``dtype``."""
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known = {}
         new = list({c for row in chunks for c in row if c not in self.known})
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, np.uint16 if max(e.ids, default=0) < 1 << 16 else np.uint32)
-        return [np.concatenate([self.known[c] for c in row]) for row in chunks]
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[c] = np.array(e.ids, self.dtype).tobytes()
+        return [b"".join(map(self.known.__getitem__, row)) for row in chunks]
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
@@ -125,8 +127,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
 
     def encode(texts: pa.Array) -> list[pa.Array]:
         keys = curve_keys(Words(texts))
-        ids = tokenizer_of(vocabulary)([t or "" for t in texts.to_pylist()])
-        return [pa.array(keys), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array([i.astype("<u2" if i.itemsize == 2 else "<u4").tobytes() for i in ids], pa.binary()), pa.array([i.itemsize for i in ids], pa.int32())]
+        tokenizer = tokenizer_of(vocabulary)
+        ids, width = tokenizer([t or "" for t in texts.to_pylist()]), np.dtype(tokenizer.dtype).itemsize
+        return [pa.array(keys), pa.array([len(i) // width + 1 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())]
 
     source = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text"))
     coded = append_columns(source, ["text"], "key long, doc_tokens long, ids binary, width int", encode).drop("text")

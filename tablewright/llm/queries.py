@@ -12,7 +12,9 @@ from tablewright.llm.common import table
 from tablewright.llm.decontamination import flag_contamination
 from tablewright.llm.neardup import near_duplicate_classes
 from tablewright.llm.packing import pack_documents
+from tablewright.llm.quality import judge, language_references, measure
 from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from tablewright.session import stored
 
 PACKING_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,6 +33,12 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_classes(documents(spark, folder)).drop("row")
 
 
+def op6_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    measured = stored(measure(docs).drop("text"))  # a text is read once; the rest needs a few numbers of each
+    return judge(measured, language_references(measured)).drop("lang")
+
+
 def op8_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), PACKING_VOCABULARY).drop("ids")
 
@@ -50,6 +58,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_near_duplicates": op3_near_duplicates,
+    "op6_divergence_rules": op6_divergence_rules,
     "op8_curve_packing": op8_curve_packing,
     "op10_decontamination": op10_decontamination,
 }
