@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.archives import archive_round_trip
 from tablewright.llm.common import table
 from tablewright.llm.decontamination import flag_contamination
 from tablewright.llm.neardup import near_duplicate_classes
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import judge, language_references, measure
+from tablewright.llm.tokencounts import count_tokens
 from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
-from tablewright.session import stored
+from tablewright.session import scratch_path, stored
 
+COUNTING_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 PACKING_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -29,10 +32,19 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(documents(spark, folder), COUNTING_VOCABULARY).select("doc_id", "n_tokens", "best_score")
+
+
 def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_classes(documents(spark, folder)).drop("row")
 
 
+def op5_archives(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return archive_round_trip(pages, scratch_path(spark)).drop("url")
+
+
 def op6_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     measured = stored(measure(docs).drop("text"))  # a text is read once; the rest needs a few numbers of each
@@ -57,7 +69,9 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_archives": op5_archives,
     "op6_divergence_rules": op6_divergence_rules,
     "op8_curve_packing": op8_curve_packing,
     "op10_decontamination": op10_decontamination,
