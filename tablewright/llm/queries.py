@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.archives import archive_round_trip
 from tablewright.llm.common import table
 from tablewright.llm.decontamination import flag_contamination
+from tablewright.llm.mainpage import extract_main_text
 from tablewright.llm.neardup import near_duplicate_classes
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import judge, language_references, measure
@@ -40,6 +41,10 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_classes(documents(spark, folder)).drop("row")
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op5_archives(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return archive_round_trip(pages, scratch_path(spark)).drop("url")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_main_text": op4_main_text,
     "op5_archives": op5_archives,
     "op6_divergence_rules": op6_divergence_rules,
     "op8_curve_packing": op8_curve_packing,
