@@ -14,6 +14,8 @@ from tablewright.llm.decontamination import flag_contamination
 from tablewright.llm.mainpage import extract_main_text
 from tablewright.llm.neardup import near_duplicate_classes
 from tablewright.llm.packing import pack_documents
+from tablewright.llm.pseudolikelihood import fit_window_network, score_pseudo_likelihood
+from tablewright.llm.puquality import fit_quality, score_quality
 from tablewright.llm.quality import judge, language_references, measure
 from tablewright.llm.tokencounts import count_tokens
 from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -56,10 +58,21 @@ def op6_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(measured, language_references(measured)).drop("lang")
 
 
+def op7_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = fit_quality(docs, table(spark, folder, "labels"), ~held_out(3, 1))
+    return score_quality(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
 def op8_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), PACKING_VOCABULARY).drop("ids")
 
 
+def op9_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return score_pseudo_likelihood(docs, fit_window_network(docs)).drop("text")
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = flag_contamination(documents(spark, folder), table(spark, folder, "benchmark"))
     return found.select(
@@ -79,7 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_main_text": op4_main_text,
     "op5_archives": op5_archives,
     "op6_divergence_rules": op6_divergence_rules,
+    "op7_pu_quality": op7_pu_quality,
     "op8_curve_packing": op8_curve_packing,
+    "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_decontamination": op10_decontamination,
 }
 
