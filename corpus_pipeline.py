@@ -19,18 +19,29 @@ from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from tablewright.session import scratch_path, stored
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under neutral column names, which no operator's own columns clash with, and those names."""
+    names = {c: f"col{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def again(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The documents' columns under their own names."""
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents predicted to be toxic go."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col("text"))
-    return score_toxicity(wrapped, model).where("predicted = 0").select("held.*")
+    own, names = plain(docs)
+    return again(score_toxicity(own, model, text=names["text"]).where("predicted = 0"), names)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the rules refuse go."""
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col("text"), F.col("lang"))
-    measured = stored(measure(wrapped).drop("text"))
-    return judge(measured, language_references(measured)).where("kept").select("held.*")
+    own, names = plain(docs)
+    measured = stored(measure(own, text=names["text"]))
+    return again(judge(measured, language_references(measured, lang=names["lang"])).where("kept"), names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +51,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold too much of the benchmark go."""
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col("text"))
-    flagged = flag_contamination(wrapped, table(spark, sf_dir, "benchmark"))
-    return remove_contamination(flagged).select("held.*")
+    own, names = plain(docs)
+    return again(remove_contamination(flag_contamination(own, table(spark, sf_dir, "benchmark"), text=names["text"])), names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
