@@ -7,6 +7,7 @@ documents spread over partitions), and the token stream along the curve is cut e
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -81,28 +82,59 @@ def curve_keys(w: Words, dims: int = DIMS, bits: int = BITS) -> np.ndarray:
 
 
 class ChunkTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space and never joins what it parts.
+    """Ids of whole texts by a lower-casing tokenizer that parts at white space, and letters from signs.
 
     Such a tokenizer gives a text the ids of its chunks between blanks and line ends, one after the other, so
-    chunks are remembered. The memory is bounded and only saves time.
+    chunks are remembered. The memory is bounded and only saves time. Whether the tokenizer is of that kind is tried on a
+    few texts; any other gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.parts = True
+        probe = ["It isn't; THE end!! x%%%\n\n  Ünder ça, y2k... a.b", "one  two\nthree"]
+        self.parts = [self._whole(t) for t in probe] == self(probe)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``dtype``."""
+        if not self.parts:
+            return [self._whole(t) for t in texts]
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known = {}
-        new = list({c for row in chunks for c in row if c not in self.known})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(self.known.__getitem__, row)) for row in chunks]
+        known = self.known
+        new = {c: _parts(c) for c in set().union(*chunks).difference(known)}
+        parts = list({p for both in new.values() for p in both if p not in known})
+        for c, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            known[c] = np.array(e.ids, self.dtype).tobytes()
+        for c, both in new.items():
+            if c not in known:
+                known[c] = b"".join(map(known.__getitem__, both))
+        return [b"".join(map(known.__getitem__, row)) for row in chunks]
+
+
+# Signs that such a tokenizer parts from the letters before them.
+_SIGNS = ".,;:!?%&*#$"
+
+
+def _parts(chunk: str) -> tuple[str, ...]:
+    """A word and the signs behind it, which get ids of their own; letters of any case get the same ids.
+
+    Only for words of Latin letters, of which all Unicode versions say the same; other chunks stay whole.
+    """
+    word = chunk.rstrip(_SIGNS)
+    if not word.isalpha() or max(word) > "\u024f":
+        return (chunk,)
+    folded = word.lower() if word.isascii() else word
+    return (folded, chunk[len(word) :]) if len(word) < len(chunk) else (folded,)
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
