@@ -23,7 +23,7 @@ from tablewright.llm.deobfuscation import SPACED, Restorer, restore_text, restor
 from tablewright.session import stored
 
 #: Labelled rows that the classifier learns from at most, chosen by the hash of their id.
-MAX_LABELLED = 40_000
+MAX_LABELLED = 12_000
 FEATURE_BITS = 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature counts if it is in at least so many toxic texts, and beyond chance by so many standard deviations.
