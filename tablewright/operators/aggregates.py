@@ -76,11 +76,11 @@ def column_function_value(df: DataFrame, fn: str, name: str) -> float:
 
 
 def kpi_block(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows ``(column, position, stat, value)`` for the first numeric columns; sample deviation.
+    """Rows ``(column, position, stat, value)`` for the given columns, all of them; sample deviation.
 
     One aggregate over all columns, unpivoted from its single row; columns without a value drop out.
     """
-    shown = columns[:MAX_KPIS]
+    shown = columns
     if not shown:
         return df.sparkSession.createDataFrame([], "column string, position int, stat string, value double")
     stats, unpivot = [], []

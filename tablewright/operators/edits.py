@@ -72,8 +72,7 @@ def delete_rows(df: DataFrame, rows: list[int], index: str = INDEX) -> DataFrame
     if len(gone) > INLINE_DELETES:
         dead = df.sparkSession.createDataFrame([(r,) for r in gone], f"`{index}` bigint")
         left = df.join(dead, index, "left_anti")
-        data = [c for c in df.columns if c != index]
-        return dense_index(left.withColumnRenamed(index, "_old"), ["_old"], index).select(index, *data)
+        return dense_index(left.withColumnRenamed(index, "_old"), ["_old"], index).select(*[column(c) for c in df.columns])
     below = F.lit(0)
     for r in gone:
         below = below + (F.col(index) > r).cast("int")

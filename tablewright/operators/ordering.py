@@ -51,17 +51,22 @@ def sorted_index(df: DataFrame, name: str, ascending: bool, tie: list[str], inde
     return dense_index(with_mixed_keys(df, name), order, index).drop(*SORT_KEYS)
 
 
-def page(df: DataFrame, number: int = 1, size: int = PAGE_SIZE, index: str = INDEX) -> DataFrame:
-    """Rows of a 1-based page by index range: a pushed-down filter, not an offset that is skipped."""
-    size = max(1, min(size, MAX_PAGE_SIZE))
+def _check_page(number: int, size: int) -> None:
     if number < 1:
         raise ValueError("pages start at 1")
+    if not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE_SIZE} rows, not {size}")
+
+
+def page(df: DataFrame, number: int = 1, size: int = PAGE_SIZE, index: str = INDEX) -> DataFrame:
+    """Rows of a 1-based page by index range: a pushed-down filter, not an offset that is skipped."""
+    _check_page(number, size)
     return viewport(df, (number - 1) * size, number * size, index)
 
 
 def page_info(df: DataFrame, number: int = 1, size: int = PAGE_SIZE, index: str = INDEX) -> DataFrame:
     """One row ``(count, page, next, previous)`` for a page."""
-    size = max(1, min(size, MAX_PAGE_SIZE))
+    _check_page(number, size)
     return df.agg(F.count("*").alias("count")).select(
         "count",
         F.lit(number).alias("page"),

@@ -90,6 +90,13 @@ def test_unknown_chart_kind(points):
         charts.series_for(points, "hologram", "x", "y", ["row_index"])
 
 
+def test_every_named_kpi_column_is_shown(spark):
+    from tablewright.operators.aggregates import kpi_block
+
+    df = spark.createDataFrame([(1, 2.0, 3, 4.0)], "a int, b double, c int, d double")
+    assert {r.column for r in kpi_block(df, ["a", "b", "c", "d"]).collect()} == {"a", "b", "c", "d"}
+
+
 def test_shared_scan_gives_the_same_dashboard(table, monkeypatch):
     import tablewright.plans.dashboard as plan
 

@@ -156,6 +156,8 @@ def test_pages(people):
     assert ordering.page_info(people, 1, 4).first()["next"] == 2
     with pytest.raises(ValueError):
         ordering.page(people, 0)
+    with pytest.raises(ValueError):
+        ordering.page(people, 1, 1000)
 
 
 def test_page_filter_reaches_the_scan(spark, people, tmp_path):

@@ -238,7 +238,7 @@ def _(t):
 
 @query("page_of_rows", f"SELECT * FROM {ORDERS} WHERE row_index BETWEEN 1000 AND 1499")
 def _(t):
-    return ordering.page(orders(t), 3, 1000)
+    return ordering.page(orders(t), 3, 500)
 
 
 @query(
@@ -418,7 +418,7 @@ def _(t):
     "SELECT json_extract_string(props, '$.k') AS k, CAST(user_id AS VARCHAR) AS \"user\" FROM events",
 )
 def _(t):
-    user = F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit(", "), F.substring("props", 2, 1000), F.lit("]"))
+    user = F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit(", "), F.expr("substring(props, 2)"), F.lit("]"))
     return readers.from_documents(t("events").select(F.concat(F.lit("["), user).alias("doc")), "doc", "records")
 
 
