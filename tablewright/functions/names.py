@@ -9,12 +9,12 @@ PLACEHOLDER = re.compile(r"^unnamed[:\s_]\s*\d*", re.IGNORECASE)
 
 
 def clean_name(raw) -> str:
-    """Lower snake case of one header; empty when the header carries no name."""
-    if isinstance(raw, tuple):
-        kept = (str(part).strip() for part in raw)
-        raw = "_".join(part for part in kept if part and not PLACEHOLDER.match(part))
-    name = re.sub(r"[^a-z0-9]+", "_", str(raw).strip().lower()).strip("_")
-    return "" if name == "nan" or PLACEHOLDER.match(name) else name
+    """Lower snake case of one header, or of the named levels of one with several; empty when it carries no name."""
+    levels = [str(level).strip() for level in raw] if isinstance(raw, tuple) else [str(raw)]
+    named = levels if len(levels) == 1 else [level for level in levels if not PLACEHOLDER.match(level)]
+    words = re.findall("[a-z0-9]+", " ".join(named).lower())
+    name = "_".join(words)
+    return "" if words == ["nan"] or PLACEHOLDER.match(name) else name
 
 
 def clean_names(raw_names) -> list[str]:

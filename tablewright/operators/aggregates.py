@@ -121,9 +121,13 @@ def _ranked(top: DataFrame, *order: Column) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def group_sum_top(df: DataFrame, x: str, y: str, k: int = BAR_SIZE) -> DataFrame:
-    """``(rank, label, value)``: largest sums of ``y`` per value of ``x`` over complete rows."""
-    pairs = df.select(present(df, x).alias("_x"), double_of(df, y).alias("_y")).na.drop()
+def group_sum_top(df: DataFrame, x: str, y: str, k: int = BAR_SIZE, summed: bool = False) -> DataFrame:
+    """``(rank, label, value)``: largest sums of ``y`` per value of ``x`` over complete rows.
+
+    ``summed`` says that ``y`` already holds sums, of which a NaN (of infinities) counts as one.
+    """
+    values = column(y) if summed else double_of(df, y)
+    pairs = df.select(present(df, x).alias("_x"), values.alias("_y")).where("_x is not null and _y is not null")
     top = (
         pairs.groupBy("_x")
         .agg(F.sum("_y").alias("_sum"))

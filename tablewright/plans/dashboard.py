@@ -15,7 +15,7 @@ from tablewright.operators.timeseries import daily_sums, trend_of_days
 from tablewright.session import cut, stored
 
 SCHEMA = "section string, item string, position int, label string, value double"
-# The shared category-by-day table is built only when it cannot have more rows than this.
+# The shared category-by-day table is built only when it cannot have more rows than this; results are the same.
 SHARED_ROWS = 2_000_000
 
 
@@ -74,7 +74,7 @@ def dashboard(
         sections.append(_long(k, "kpi", "column", "position", "stat", "value"))
     shared = _shared(typed, found, x, y, d, span)
     if x and y:
-        bars = group_sum_top(shared, x, "_sum") if shared else group_sum_top(typed, x, y)
+        bars = group_sum_top(shared, x, "_sum", summed=True) if shared else group_sum_top(typed, x, y)
         sections.append(_long(bars, "bar", _text(x), "rank - 1", "label", "value"))
     if d and y:
         sections.append(_line(_daily(typed, shared, d, y), y))

@@ -107,6 +107,19 @@ def test_shared_scan_gives_the_same_dashboard(table, monkeypatch):
     assert shared == apart
 
 
+def test_shared_scan_treats_nan_and_infinities_the_same(spark, monkeypatch):
+    import tablewright.plans.dashboard as plan
+
+    values = {3: float("inf"), 7: float("-inf"), 10: float("nan")}
+    rows = [(i, f"g{i % 2}", f"2024-01-{i % 4 + 1:02d}", values.get(i, float(i))) for i in range(32)]
+    df = spark.createDataFrame(rows, "id int, region string, day string, amount double")
+    shared = sorted(map(str, dashboard(df, "o", measure="amount", dimension="region", order_by=["id"]).collect()))
+    monkeypatch.setattr(plan, "SHARED_ROWS", 0)
+    apart = sorted(map(str, dashboard(df, "o", measure="amount", dimension="region", order_by=["id"]).collect()))
+    assert shared == apart
+    assert any("section='bar'" in row and "value=None" in row for row in shared)
+
+
 def test_dashboard_of_messy_text(spark):
     rows = [(f"{i}", "north" if i % 3 else "south", f"2024-01-{i % 28 + 1:02d}" if i % 10 else "?") for i in range(100)]
     df = spark.createDataFrame(rows, "amount string, region string, day string")
