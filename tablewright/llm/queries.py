@@ -70,7 +70,7 @@ def op8_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    return score_pseudo_likelihood(docs, fit_window_network(docs)).drop("text")
+    return score_pseudo_likelihood(docs, fit_window_network(docs), keep_text=False)
 
 
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
