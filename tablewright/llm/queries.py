@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from tablewright.llm.archives import archive_round_trip
 from tablewright.llm.common import table
 from tablewright.llm.decontamination import flag_contamination
+from tablewright.llm.importance import bucket_counts, bucket_gains, importance_weights, resample
+from tablewright.llm.linededup import drop_repeated_lines
 from tablewright.llm.mainpage import extract_main_text
+from tablewright.llm.merkle import merkle_manifest
 from tablewright.llm.neardup import near_duplicate_classes
+from tablewright.llm.oracles import IMPORTANCE, MERKLE, REPEATED_LINES
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.pseudolikelihood import fit_window_network, score_pseudo_likelihood
 from tablewright.llm.puquality import fit_quality, score_quality
@@ -85,6 +89,22 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    gains = bucket_gains(bucket_counts(docs), bucket_counts(table(spark, folder, "benchmark")))
+    weighted = importance_weights(docs, gains).drop("text")
+    return resample(weighted).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = drop_repeated_lines(documents(spark, folder))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -96,6 +116,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curve_packing": op8_curve_packing,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_decontamination": op10_decontamination,
+    "op11_importance": op11_importance,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_importance": IMPORTANCE,
+    "op12_line_dedup": REPEATED_LINES,
+    "op13_merkle_manifest": MERKLE,
+}

@@ -82,6 +82,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         start, done = end, int(ends[end - 1])
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, the same wherever the bytes stand."""
+    up, down = _byte_powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODES[data] * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 class Words:
     """Words of the texts of one slice: byte ranges, the text that each belongs to, and hashes."""
 
@@ -105,10 +113,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same wherever the word stands."""
-        up, down = _byte_powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[self.data] * up[:-1], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return range_hashes(self.data, self.starts, self.ends)
 
     def windows(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of every window of ``n`` words within one text."""
