@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.cleaning import null_to_blank
 from tablewright.operators.rowindex import INDEX, dense_index
-from tablewright.sources.readers import read_table
+from tablewright.sources.order import source_index, without_order
+from tablewright.sources.readers import read_source
 
 # The life of a dataset.
 PENDING, PROCESSING, READY, ERROR = "pending", "processing", "ready", "error"
@@ -119,12 +120,15 @@ class Catalog:
         return f"{self.root}/rows/{dataset_id}/{version}"
 
     def ingest(self, dataset_id: str, owner: str, order_by: list[str] | None = None, **options) -> Row:
-        """Reads the registered file, numbers and stores its rows: processing, then ready or error."""
+        """Reads the registered file, numbers and stores its rows: processing, then ready or error.
+
+        Rows are numbered by ``order_by``, or else as they stand in their files.
+        """
         record = self.detail(dataset_id, owner)
         self._change(record, status=PROCESSING, error_message="")
         try:
-            table = read_table(self.spark, record["path"], **options)
-            self._store(record, dense_index(table, order_by))
+            table, in_place = read_source(self.spark, record["path"], **options)
+            self._store(record, dense_index(without_order(table), order_by) if order_by else source_index(table, in_place))
         except Exception as error:
             self._change(record, status=ERROR, error_message=str(error))
             raise

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.names import clean_names
 from tablewright.functions.parsing import FLOAT_LITERAL, column, is_text_type, numeric
+from tablewright.sources.delimited import cells
 
 # The limits of header detection and sheet validity.
 HEADER_SCAN_ROWS = 10
@@ -196,6 +197,5 @@ def tagged_union(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def text_grid(df: DataFrame, sheet: Column, row_idx: Column, line: Column, sep: str = ",") -> DataFrame:
-    """A grid from delimited lines; empty cells are NULL."""
-    cells = F.transform(F.split(line, F.lit(sep)), lambda c: F.nullif(c, F.lit("")))
-    return df.select(sheet.alias("sheet"), row_idx.cast("long").alias("row_idx"), cells.alias("cells"))
+    """A grid from delimited lines; ``sep`` stands for itself, quoted cells may hold it, and empty cells are NULL."""
+    return df.select(sheet.alias("sheet"), row_idx.cast("long").alias("row_idx"), cells(line, sep).alias("cells"))

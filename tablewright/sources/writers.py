@@ -52,7 +52,8 @@ def write_delimited(df: DataFrame, path: str, columns: list[str] | None = None)
     columns = columns or df.columns
     cells = [F.coalesce(column(c).cast("string"), F.lit("")).alias(c) for c in columns]
     writer = df.select(*cells).write.mode("overwrite").option("header", True).option("quoteAll", True)
-    writer.option("escape", '"').csv(path)
+    # Without these the writer would strip blanks and line breaks at the ends of cells.
+    writer.options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def load_indexed(df: DataFrame, path: str, order_by: list[str] | None = None, index: str = INDEX) -> DataFrame:

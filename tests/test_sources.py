@@ -1,12 +1,16 @@
 """Readers, sheets, writers, catalog and incremental ingest."""
 
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.sources import readers, sheets, writers
+from tablewright.sources import delimited, readers, sheets, writers
 from tablewright.sources.catalog import Catalog, with_owner
+from tablewright.sources.order import placed, source_index
 from tablewright.streaming.ingest import ingest_folder, ingested
 
 
@@ -63,13 +67,144 @@ def test_json_records(spark, tmp_path):
 def test_json_layouts(spark, tmp_path, doc, orient):
     path = write(tmp_path / "t.json", json.dumps(doc))
     df = readers.read_json(spark, path, orient)
-    assert df.columns == ["a", "b"]
-    assert rows_of(df, "a") == [("1", "x"), ("2", "y")]
+    assert df.dtypes == [("a", "bigint"), ("b", "string")]
+    assert rows_of(df, "a") == [(1, "x"), (2, "y")]
+    assert rows_of(readers.read_json(spark, path, orient, typed=False), "a") == [("1", "x"), ("2", "y")]
 
 
 def test_json_values(spark, tmp_path):
     path = write(tmp_path / "t.json", "[[1, 2], [3, [4]]]")
-    assert rows_of(readers.read_json(spark, path, "values"), "0") == [("1", "2"), ("3", "[4]")]
+    assert rows_of(readers.read_json(spark, path, "values"), "0") == [(1, "2"), (3, "[4]")]
+
+
+@pytest.mark.parametrize(
+    "orient, docs",
+    [
+        ("records", [[{"zone": "n", "qty": 1, "amount": 2.5}, {"late": True, "qty": 2}], [{"qty": 3, "early": 0}]]),
+        ("index", [{"r9": {"zone": "n", "qty": 1, "amount": 2.5}, "r1": {"late": True, "qty": 2}}, {"r0": {"qty": 3, "early": 0}}]),
+        ("split", [{"columns": ["zone", "qty", "amount"], "index": [0], "data": [["n", 1, 2.5]]}, {"columns": ["late", "qty", "early"], "index": [0, 1], "data": [[True, 2, None], [None, 3, 0]]}]),
+        ("columns", [{"zone": {"7": "n"}, "qty": {"7": 1, "3": 2}, "amount": {"7": 2.5}, "late": {"3": True}}, {"qty": {"0": 3}, "early": {"0": 0}}]),
+        ("lists", [{"zone": ["n", None], "qty": [1, 2], "amount": [2.5, None], "late": [None, True]}, {"qty": [3], "early": [0]}]),
+    ],
+)
+def test_json_order_of_names_and_rows(spark, tmp_path, orient, docs):
+    for name, doc in zip("ab", docs):
+        write(tmp_path / f"{name}.json", json.dumps(doc))
+    table, in_place = readers.read_source(spark, str(tmp_path / "*.json"), "json", **({} if orient == "lists" else {"orient": orient}))
+    df = source_index(table, in_place)
+    assert df.columns == ["row_index", "zone", "qty", "amount", "late", "early"]
+    assert rows_of(df, "row_index") == [(0, "n", 1, 2.5, None, None), (1, None, 2, None, True, None), (2, None, 3, None, None, 0)]
+
+
+def test_json_values_of_many_columns(spark, tmp_path):
+    path = write(tmp_path / "t.json", json.dumps([list(range(12)), list(range(12, 24))]))
+    df = readers.read_json(spark, path, "values")
+    assert df.columns == [str(i) for i in range(12)]
+    assert rows_of(df, "0") == [tuple(range(12)), tuple(range(12, 24))]
+
+
+def test_json_names_that_clash(spark, tmp_path):
+    path = write(tmp_path / "t.json", '[{"_file": 1, "_place": "x", "a.b": 2, "c0": 3}]')
+    assert readers.read_table(spark, path).columns == ["file", "place", "a_b", "c0"]
+    assert readers.read_json(spark, path).columns == ["_file", "_place", "a.b", "c0"]
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"b":', '{"a": [1, 2', '[{"a": 1}] tail', '{"a": {"0": 1}, "b": {"0" 2}}', '[{"a": 1}, 3]', "x"])
+def test_malformed_json_is_an_error(spark, tmp_path, text):
+    with pytest.raises(ValueError):
+        readers.read_table(spark, write(tmp_path / "t.json", text))
+
+
+def test_json_lines(spark, tmp_path):
+    path = write(tmp_path / "t.jsonl", '{"z": 1, "a": "x"}\n\n{"m": [2], "a": "y"}\n')
+    df, in_place = readers.read_source(spark, path)
+    assert rows_of(source_index(df, in_place).select("row_index", "z", "a"), "row_index") == [(0, 1, "x"), (1, None, "y")]
+    assert readers.read_table(spark, path).columns == ["z", "a", "m"]
+    with pytest.raises(ValueError, match="failed"):
+        readers.read_table(spark, write(tmp_path / "bad.jsonl", '{"z": 1}\n{"z": \n'))
+
+
+CELLS = ["", "plain", "a,b", "x\ny", 'he said "hi"', "line1\n\nline3,\"q\"", '5" pipe', "é😀", "w " * 40, "\n", '"', "a\r\nb"]
+
+
+def csv_files(folder, n_files=3, n_rows=150, seed=3):
+    """Files of rows with every kind of cell, in both line endings; and their rows in the order of the files."""
+    rng, want = random.Random(seed), {}
+    for name in rng.sample("abcdef", n_files):
+        rows = [[str(i), *[rng.choice(CELLS) for _ in range(rng.choice([3, 3, 3, 2, 5]))]] for i in range(n_rows)]
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\r\n" if name in "ace" else "\n")
+        writer.writerows([["id", "A b", "c", "d"], *rows])
+        (folder / f"{name}.csv").write_bytes((out.getvalue() + ('7,6" x,8" y,z\n\n' if name in "ab" else "")).encode())
+        want[name] = rows + ([["7", '6" x', '8" y', "z"]] if name in "ab" else [])
+    return [tuple(c or None for c in [*r, *[""] * (6 - len(r))]) for name in sorted(want) for r in want[name]]
+
+
+@pytest.fixture
+def block_bytes(spark):
+    """Sets the size of the blocks that files are read in."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def use(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+    yield use
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("size", ["128m", "4k", "200"])
+def test_csv_line_breaks_in_any_blocks(spark, tmp_path, block_bytes, size):
+    want = csv_files(tmp_path)
+    block_bytes(size)
+    df = source_index(delimited.delimited_table(spark, str(tmp_path)))
+    assert df.columns == ["row_index", "id", "a_b", "c", "d", "col_4", "col_5"]
+    assert rows_of(df, "row_index") == [(i, *r) for i, r in enumerate(want)]
+
+
+def test_csv_cell_longer_than_blocks(spark, tmp_path, block_bytes):
+    long = "\n".join(f"line {i}, of one cell" for i in range(400))
+    write(tmp_path / "t.csv", f'k,v\n1,"{long}"\n2,b\n3,"{long}"\n')
+    block_bytes("500")
+    assert rows_of(readers.read_csv(spark, str(tmp_path), typed=False), "k") == [("1", long), ("2", "b"), ("3", long)]
+
+
+def test_csv_starts_that_do_not_fit_in_a_broadcast(spark, tmp_path, block_bytes, monkeypatch):
+    want = csv_files(tmp_path)
+    block_bytes("300")
+    monkeypatch.setattr(delimited, "broadcast_if_small", lambda df: df)
+    assert rows_of(source_index(delimited.delimited_table(spark, str(tmp_path))), "row_index") == [(i, *r) for i, r in enumerate(want)]
+
+
+def test_csv_errors(spark, tmp_path):
+    with pytest.raises(ValueError, match="never closes"):
+        readers.read_csv(spark, write(tmp_path / "open.csv", 'a,b\n1,"x\n2,y\n'))
+    with pytest.raises(ValueError, match="empty"):
+        readers.read_csv(spark, write(tmp_path / "empty.csv", "\n \n"))
+    folder = tmp_path / "two"
+    folder.mkdir()
+    write(folder / "a.csv", "a,b\n1,2\n")
+    write(folder / "b.csv", "b,a\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        readers.read_csv(spark, str(folder))
+    assert readers.read_csv(spark, write(tmp_path / "bare.csv", "\ufeffa,b\n")).count() == 0
+    assert readers.read_csv(spark, write(tmp_path / "bom.csv", "\ufeff\"a\",b\n1,2\n")).columns == ["a", "b"]
+
+
+def test_cells(values):
+    lines = ["", ",", 'a,"b ""c"", d",e', '"x"y,"",z', '5" a,6" b', '"open, a', "a;b", None]
+    assert values(lines, delimited.cells) == [[None], [None, None], ["a", 'b "c", d', "e"], ["xy", None, "z"], ['5" a', '6" b'], ["open, a"], ["a;b"], None]
+    assert values(["a|b|\"c|d\"", "a.b"], lambda c: delimited.cells(c, "|")) == [["a", "b", "c|d"], ["a.b"]]
+
+
+def test_source_order_of_uneven_files(spark, tmp_path):
+    for k, n in enumerate([3, 400, 1, 90]):
+        spark.range(n).select((F.col("id") + 1000 * k).alias("v")).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+    scan = spark.read.parquet(*[str(tmp_path / f"p{k}") for k in range(4)])
+    df = source_index(placed(scan))
+    assert [r.v for r in df.orderBy("row_index").collect()] == [1000 * k + i for k, n in enumerate([3, 400, 1, 90]) for i in range(n)]
+    assert [r.row_index for r in df.orderBy("row_index").collect()] == list(range(494))
 
 
 def test_equal_documents_stay_apart(spark):
