@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.names import clean_names
+from tablewright.functions.parsing import numeric
 from tablewright.session import broadcast_if_small, stored
 from tablewright.sources.order import BLOCK, FILE, LATE, PLACE, block_columns
 
@@ -205,22 +206,33 @@ def records(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame,
             found = found.unionByName(_crossing(pieces.where(F.col("part") != _WHOLE), blocks))
     found = found.withColumn(RECORD, F.regexp_replace(RECORD, r"\r$", "")).where(F.trim(RECORD) != "")
     heads = headers.where(F.col(PLACE).isNotNull()).select(FILE, BLOCK, PLACE)
-    first = found.join(broadcast_if_small(heads), [FILE, BLOCK, PLACE], "left_semi")
+    heads = broadcast_if_small(heads)
+    first = lines.join(heads, [FILE, BLOCK, PLACE], "left_semi").select(FILE, F.regexp_replace("value", r"\r$", "").alias(RECORD), "from_0")
+    if not first.where("from_0 = 1").isEmpty():  # a name holds a line break
+        first = found.join(heads, [FILE, BLOCK, PLACE], "left_semi")
     shown = first.agg(F.min_by(RECORD, FILE).alias("header"), F.min(RECORD).alias("low"), F.max(RECORD).alias("high")).first()
     if shown["low"] != shown["high"]:
         raise ValueError("the files have different headers")
-    return found.join(broadcast_if_small(heads), [FILE, BLOCK, PLACE], "left_anti"), shown["header"].removeprefix("\ufeff")
+    return found.join(heads, [FILE, BLOCK, PLACE], "left_anti"), shown["header"].removeprefix("\ufeff")
 
 
-def delimited_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """The text columns of delimited files, and the places of their rows.
+def delimited_table(spark: SparkSession, path: str, sep: str = ",", typed: bool = False) -> DataFrame:
+    """The columns of delimited files, and the places of their rows.
 
     A row with more cells than the header gives further columns, named by their position; cells that a
-    short row lacks are NULL.
+    short row lacks are NULL. With ``typed`` columns that are entirely numeric become DOUBLE. The number of columns and their types
+    come from one aggregate by position.
     """
     found, header = records(spark, path, sep)
     split = found.select(FILE, BLOCK, PLACE, LATE, cells(F.col(RECORD), sep).alias("cells"))
     names = [c or "" for c in spark.range(1).select(cells(F.lit(header), sep)).first()[0]]
-    widest = found.select(F.size(cells(F.col(RECORD), sep)).alias("n")).agg(F.max("n")).first()[0] or 0
-    names = clean_names([*names, *[""] * (widest - len(names))])
-    return split.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], FILE, BLOCK, PLACE, LATE)
+    by_place = split.select(F.posexplode("cells").alias("i", "cell")).groupBy("i").agg(F.count("cell").alias("n"), F.count(numeric(F.col("cell"))).alias("numbers"))
+    seen = {r["i"]: r for r in by_place.collect()}  # one row for each column
+    names = clean_names([*names, *[""] * (max(seen, default=-1) + 1 - len(names))])
+
+    def cell(i: int) -> Column:
+        c = F.get("cells", F.lit(i))
+        whole = i not in seen or seen[i]["n"] == seen[i]["numbers"]
+        return (numeric(c) if typed and whole else c).alias(names[i])
+
+    return split.select(*[cell(i) for i in range(len(names))], FILE, BLOCK, PLACE, LATE)

@@ -42,7 +42,7 @@ def read_source(spark: SparkSession, path: str, fmt: str | None = None, **option
         raise ValueError(f"unsupported file type of {path!r}; use one of {', '.join(FORMATS)}")
     try:
         if fmt == "csv":
-            return _csv(spark, path, **options), True
+            return delimited_table(spark, path, **{"typed": True, **options}), True
         if fmt == "json":
             df, names, in_place = _json(spark, path, **options)
         elif fmt == "jsonl":
@@ -69,13 +69,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", typed: bool = True)
     header give further columns. All cells are read as text; columns that are entirely numeric become DOUBLE, decided by one
     aggregate over the file rather than by the reader's own inference.
     """
-    return without_order(_csv(spark, path, sep, typed))
-
-
-def _csv(spark: SparkSession, path: str, sep: str = ",", typed: bool = True) -> DataFrame:
-    df = delimited_table(spark, path, sep)
-    own = [c for c in df.columns if c not in ORDER]
-    return numeric_where_whole(df, own) if typed else df
+    return without_order(delimited_table(spark, path, sep, typed))
 
 
 def parse_lines(df: DataFrame, line: Column, names: list[str], sep: str = ",") -> DataFrame:
@@ -84,9 +78,9 @@ def parse_lines(df: DataFrame, line: Column, names: list[str], sep: str = ",") -
     return df.select(F.from_csv(line, schema, {"sep": sep, "escape": '"'}).alias("_r")).select("_r.*")
 
 
-def whole_numeric(df: DataFrame, among: list[str] | None = None) -> dict[str, bool]:
+def whole_numeric(df: DataFrame) -> dict[str, bool]:
     """Per text column: whether every non-null cell is a number (one aggregate)."""
-    names = [f.name for f in df.schema.fields if is_text_type(f.dataType) and (among is None or f.name in among)]
+    names = [f.name for f in df.schema.fields if is_text_type(f.dataType)]
     if not names:
         return {}
     aggs = []
@@ -96,9 +90,9 @@ def whole_numeric(df: DataFrame, among: list[str] | None = None) -> dict[str, bo
     return {n: found[f"n{i}"] == found[f"m{i}"] for i, n in enumerate(names)}
 
 
-def numeric_where_whole(df: DataFrame, among: list[str] | None = None) -> DataFrame:
+def numeric_where_whole(df: DataFrame) -> DataFrame:
     """Text columns whose every cell is a number become DOUBLE; one bad cell keeps a column as text."""
-    whole = whole_numeric(df, among)
+    whole = whole_numeric(df)
     return df.select(
         *[(numeric(column(c)) if whole.get(c) else column(c)).alias(c) for c in df.columns]
     )
