@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.formatting import safe_scalar
 from tablewright.functions.parsing import column, double_of, is_number_type, is_text_type, prefix, present
-from tablewright.operators.rowindex import INDEX, dense_index, row_count
+from tablewright.operators.rowindex import INDEX, dense_index
 
 # Fixed values of paging and top lists.
 PAGE_SIZE = 100
@@ -113,6 +113,6 @@ def top_columns(categorical: list[str], numbers: list[str], every: list[str]) ->
 
 def stride(df: DataFrame, above: int = 150, target: int = 100, index: str = INDEX) -> DataFrame:
     """Every ``ceil(n / target)``-th row of a dense table that has more than ``above`` rows."""
-    n = row_count(df, index)
+    n = df.agg(F.count("*")).scalar()
     step = F.when(n > above, F.ceil(n / target)).otherwise(F.lit(1))
     return df.where(F.col(index) % step == 0)

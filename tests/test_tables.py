@@ -1,11 +1,12 @@
 """Row index, edits, cleaning, filters and ordering on small tables."""
 
+import bisect
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import cleaning, columns, edits, filters, ordering
+from tablewright.operators import cleaning, columns, deletions, edits, filters, ordering
 from tablewright.operators.rowindex import dense_index, file_index, running_total
 
 
@@ -87,6 +88,45 @@ def test_delete_rows_keeps_the_index_dense(people, gone):
     assert [r.name for r in got] == [f"n{i}" for i in range(10) if i not in gone]
 
 
+@pytest.mark.parametrize("n", [64, 65, 5000])
+def test_delete_rows_of_an_index_with_gaps(spark, monkeypatch, n):
+    kept = [i for i in range(300_000) if i % 7]
+    df = spark.createDataFrame([(i, str(i)) for i in kept[::3]], "row_index bigint, v string").repartition(5)
+    gone = random.Random(n).sample(range(300_000), n) + [299_999, 0, 65_535, 65_536]
+    ordered = sorted(set(gone))
+    want = sorted((i - bisect.bisect_left(ordered, i), str(i)) for i in set(kept[::3]) - set(gone))
+    for rows in (gone, spark.createDataFrame([(g,) for g in [*gone, gone[0], None]], "row_index bigint")):
+        assert sorted((r.row_index, r.v) for r in edits.delete_rows(df, rows).collect()) == want
+    monkeypatch.setattr(deletions, "BROADCAST_REMOVALS", 0)
+    assert sorted((r.row_index, r.v) for r in edits.delete_rows(df, gone).collect()) == want
+
+
+def test_delete_no_rows(spark, people):
+    assert edits.delete_rows(people, []).count() == 10
+    assert edits.delete_rows(people, spark.createDataFrame([], "row_index bigint")).count() == 10
+    assert edits.delete_rows(people.where("false"), list(range(100))).count() == 0
+
+
+def test_rejected_edits(spark, people):
+    changes = spark.createDataFrame(
+        [(1, "pay", "abc", 1), (1, "pay", "7", 0), (99, "pay", "1", 0), (2, "nosuch", "x", 0), (None, "pay", "1", 0), (3, None, "1", 0), (4, "pay", None, 0), (5, "row_index", "1", 0)],
+        "row_index bigint, column string, value string, edit_no int",
+    )
+    got = {(r.row_index, r.column): r.reason for r in edits.rejected_edits(people, changes).collect()}
+    assert got == {(1, "pay"): "bad value", (99, "pay"): "unknown row", (2, "nosuch"): "unknown column", (None, "pay"): "no row", (3, None): "unknown column", (5, "row_index"): "unknown column"}
+    table = {r.row_index: r.pay for r in edits.update_cells(people, changes).collect()}
+    assert table[1] == 7.0 and table[4] is None and table[5] == 50.0 and len(table) == 10
+    nested = people.withColumn("list", F.array("name"))
+    odd = spark.createDataFrame([(0, "list", "x"), (1, "list", None)], "row_index bigint, column string, value string")
+    assert {r.row_index: r["list"] for r in edits.update_cells(nested, odd).collect()}[1] is None
+    assert [(r.row_index, r.reason) for r in edits.rejected_edits(nested, odd).collect()] == [(0, "bad value")]
+
+
+def test_append_checks_its_values(people):
+    with pytest.raises(ValueError, match="'lots' is no value of column 'pay'"):
+        edits.append_rows(people, [{"pay": "lots"}])
+
+
 def test_delete_many_rows(spark):
     df = spark.range(500).select(F.col("id").alias("row_index"), F.col("id").alias("v"))
     got = edits.delete_rows(df, list(range(0, 400, 2))).orderBy("row_index").collect()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import formatting
@@ -11,6 +14,7 @@ from tablewright.operators.rowindex import dense_index, file_index, running_tota
 from tablewright.plans.recipe import run_recipe
 from tablewright.session import scratch_path
 from tablewright.sources import catalog, readers, sheets, writers
+from tablewright.sources.indexed import IndexedTable
 from tablewright.streaming.ingest import ingest_folder, ingested
 from workload.derived import (
     MESSY_CUSTOMERS_SQL,
@@ -35,6 +39,10 @@ def orders(t):
     return dense_index(t("orders"), ["o_orderdate", "o_orderkey"])
 
 
+def indexed_orders(t) -> IndexedTable:
+    return IndexedTable.create(t("orders"), scratch_path(t.spark), ["o_orderdate", "o_orderkey"])
+
+
 # -- columns --------------------------------------------------------------------------------------
 
 
@@ -151,6 +159,77 @@ def _(t):
     return edits.delete_rows(customers(t), [7, 0, 120])
 
 
+GAPPED = "(SELECT 2 * o_orderkey + 1 AS row_index, o_orderkey, o_orderkey % 3 = 0 AS gone FROM orders)"
+
+
+@query(
+    "delete_rows_many",
+    f"""SELECT row_index - below AS row_index, o_orderkey FROM (
+      SELECT *, coalesce(sum(CAST(gone AS BIGINT)) OVER (ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM {GAPPED})
+    WHERE NOT gone""",
+)
+def _(t):
+    table = t("orders").select((F.col("o_orderkey") * 2 + 1).alias("row_index"), "o_orderkey")
+    return edits.delete_rows(table, table.where("o_orderkey % 3 = 0").select("row_index"))
+
+
+@query(
+    "update_cells_rejects",
+    f"""SELECT row_index, "column", value, reason FROM (
+      SELECT row_index, 'c_acctbal' AS "column", 'n/a' AS value, 'bad value' AS reason FROM {CUSTOMERS} WHERE c_acctbal < 0
+      UNION ALL SELECT row_index + (SELECT count(*) FROM customer), 'c_name', 'x', 'unknown row' FROM {CUSTOMERS} WHERE c_nationkey = 3
+      UNION ALL SELECT row_index, 'c_nosuch', 'x', 'unknown column' FROM {CUSTOMERS} WHERE c_nationkey = 4)""",
+)
+def _(t):
+    table, n = customers(t), t("customer").count()
+
+    def edit(where, shift, name, value):
+        return table.where(where).select((F.col("row_index") + shift).alias("row_index"), F.lit(name).alias("column"), F.lit(value).alias("value"))
+
+    asked = [("c_acctbal < 0", 0, "c_acctbal", "n/a"), ("c_nationkey = 3", n, "c_name", "x"), ("c_nationkey = 4", 0, "c_nosuch", "x"), ("c_nationkey = 5", 0, "c_acctbal", "1.5")]
+    return edits.rejected_edits(table, reduce(DataFrame.unionByName, [edit(*a) for a in asked]))
+
+
+EDITED = f"""(SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, o_orderkey, o_orderpriority,
+  CASE WHEN o_custkey % 7 = 0 THEN '' ELSE o_orderstatus END AS o_orderstatus FROM {ORDERS} WHERE o_custkey % 5 > 0)"""
+
+
+@query("indexed_edits", f"SELECT * FROM {EDITED}")
+def _(t):
+    return edited_orders(t).rows().drop("o_orderdate", "o_custkey")
+
+
+@query("indexed_edits_page", f"SELECT * FROM {EDITED} WHERE row_index BETWEEN 1000 AND 1499")
+def _(t):
+    return edited_orders(t).page(3, 500).drop("o_orderdate", "o_custkey")
+
+
+@query("indexed_edits_compacted", f"SELECT * FROM {EDITED}")
+def _(t):
+    table = edited_orders(t)
+    table.compact()
+    return table.rows().drop("o_orderdate", "o_custkey")
+
+
+def edited_orders(t) -> IndexedTable:
+    """Orders without every fifth customer's, then with a blank status for every seventh customer's."""
+    table = IndexedTable.create(t("orders").select("o_orderdate", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"), scratch_path(t.spark), ["o_orderdate", "o_orderkey"])
+    table.delete(table.rows().where("o_custkey % 5 = 0").select("row_index"))
+    table.update(table.rows().where("o_custkey % 7 = 0").select("row_index", F.lit("o_orderstatus").alias("column"), F.lit("").alias("value")))
+    return table
+
+
+@query(
+    "sorted_page",
+    """SELECT CAST(row_number() OVER (ORDER BY o_totalprice DESC, row_index) - 1 AS BIGINT) AS position, row_index, o_orderkey, o_totalprice
+    FROM """
+    + ORDERS
+    + " QUALIFY position BETWEEN 200 AND 299",
+)
+def _(t):
+    return indexed_orders(t).sorted_page("o_totalprice", 3, 100, ascending=False).select("position", "row_index", "o_orderkey", "o_totalprice")
+
+
 # -- filters ----------------------------------------------------------------------------------------
 
 
@@ -238,7 +317,7 @@ def _(t):
 
 @query("page_of_rows", f"SELECT * FROM {ORDERS} WHERE row_index BETWEEN 1000 AND 1499")
 def _(t):
-    return ordering.page(orders(t), 3, 500)
+    return indexed_orders(t).page(3, 500)
 
 
 @query(
@@ -251,7 +330,7 @@ def _(t):
 
 @query("viewport", f"SELECT * FROM {ORDERS} WHERE row_index >= 250 AND row_index < 290")
 def _(t):
-    return ordering.viewport(orders(t), 250, 290)
+    return indexed_orders(t).viewport(250, 290)
 
 
 @query(
@@ -275,7 +354,7 @@ def _(t):
     f"SELECT row_index, o_totalprice FROM {ORDERS} WHERE row_index % CAST(ceil((SELECT count(*) FROM orders) / 100.0) AS BIGINT) = 0",
 )
 def _(t):
-    return ordering.stride(orders(t)).select("row_index", "o_totalprice")
+    return indexed_orders(t).stride().select("row_index", "o_totalprice")
 
 
 # -- cleaning -----------------------------------------------------------------------------------------
