@@ -15,7 +15,7 @@ from tablewright.llm.importance import bucket_counts, bucket_gains, importance_w
 from tablewright.llm.linededup import drop_repeated_lines
 from tablewright.llm.mainpage import extract_main_text
 from tablewright.llm.merkle import merkle_manifest
-from tablewright.llm.neardup import near_duplicate_classes
+from tablewright.llm.neardup import LEADER_ROUNDS, near_duplicate_classes
 from tablewright.llm.oracles import IMPORTANCE, MERKLE, REPEATED_LINES
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.pseudolikelihood import fit_window_network, score_pseudo_likelihood
@@ -44,7 +44,7 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicate_classes(documents(spark, folder)).drop("row")
+    return near_duplicate_classes(documents(spark, folder), rounds=LEADER_ROUNDS).drop("row")
 
 
 def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
