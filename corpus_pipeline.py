@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import table
 from tablewright.llm.decontamination import flag_contamination, remove_contamination
-from tablewright.llm.neardup import drop_near_duplicates
+from tablewright.llm.neardup import LEADER_ROUNDS, drop_near_duplicates
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import judge, language_references, measure
 from tablewright.llm.queries import PACKING_VOCABULARY
@@ -46,7 +46,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: one document of each class of near-duplicates stays."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, rounds=LEADER_ROUNDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
