@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablewright.functions.parsing import column
 
 MISSING = "—"
 
@@ -48,6 +51,30 @@ def compact_number(value: Column) -> Column:
     )
 
 
+def number_text(value: Column, whole: str = "") -> Column:
+    """A double or float as a sheet shows it: shortest digits, no exponent from a millionth up to 1e21, none after the point of a whole
+    number but ``whole``."""
+    size, short = F.abs(value.cast("double")), value.cast("string")
+    digits = F.when(size >= 1, short.try_cast("decimal(38,10)").cast("string")).otherwise(short.try_cast("decimal(38,24)").cast("string"))
+    plain = F.when((size >= 1e-3) & (size < 1e7), short).otherwise(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"))
+    trimmed = F.regexp_replace(plain, r"\.0?$", "")
+    even = F.when(F.contains(trimmed, F.lit(".")), trimmed).otherwise(F.concat(trimmed, F.lit(whole)))
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(short, r"\.0E", "E"), "E-", "e-"), "E", "e+")
+    return (
+        F.when(F.isnan(value.cast("double")) | (size == float("inf")), short)
+        .when(size == 0, F.lit("0" + whole))
+        .when((size >= 1e21) | (size < 1e-6), power)
+        .otherwise(even)
+    )
+
+
+def cell_text(df: DataFrame, name: str, whole: str = "") -> Column:
+    """The text of a cell, NULL where it is missing or NaN; see :func:`number_text` for ``whole``."""
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(column(name)), number_text(column(name), whole))
+    return column(name).cast("string")
+
+
 def date_label(value: Column) -> Column:
     """The first ten characters of a date: ``yyyy-MM-dd``."""
     return F.date_format(value, "yyyy-MM-dd")

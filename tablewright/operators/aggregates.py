@@ -6,11 +6,12 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, DoubleType, FloatType
 
 from tablewright.functions import names
-from tablewright.functions.formatting import safe_scalar
+from tablewright.functions.formatting import cell_text, number_text, safe_scalar
 from tablewright.functions.parsing import column, currency, double_of, is_text_type, prefix, present
+from tablewright.operators.distinct import distinct_counts
 from tablewright.operators.quantiles import exact_median
 from tablewright.operators.rowindex import INDEX
 
@@ -22,6 +23,7 @@ BAR_SIZE = 15
 PIE_SIZE = 10
 MERGE_ABOVE = 7
 MERGE_SHARE = 0.02
+LABEL_WHOLE = ".0"  # how group labels spell whole numbers of a column with fractions
 
 
 def _aggregate(fn: str, v: Column) -> Column:
@@ -113,7 +115,11 @@ def null_cells(df: DataFrame) -> DataFrame:
 
 
 def distinct_count(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.countDistinct(present(df, name)).alias("n_distinct"))
+    """``n_distinct``: how many values a column has; -0.0 is 0.0, and NaN no value."""
+    cell = present(df, name)
+    if isinstance(df.schema[name].dataType, (DoubleType, FloatType)):
+        cell = cell + F.lit(0.0)
+    return distinct_counts(df, [cell]).agg(F.coalesce(F.max("n_distinct"), F.lit(0)).alias("n_distinct"))
 
 
 def _ranked(top: DataFrame, *order: Column) -> DataFrame:
@@ -127,11 +133,10 @@ def group_sum_top(df: DataFrame, x: str, y: str, k: int = BAR_SIZE, summed: bool
     ``summed`` says that ``y`` already holds sums, of which a NaN (of infinities) counts as one.
     """
     values = column(y) if summed else double_of(df, y)
-    pairs = df.select(present(df, x).alias("_x"), values.alias("_y")).where("_x is not null and _y is not null")
+    pairs = df.select(present(df, x).alias(x), values.alias("_y")).where(column(x).isNotNull() & F.col("_y").isNotNull())
+    sums = pairs.groupBy(column(x)).agg(F.sum("_y").alias("_sum"))
     top = (
-        pairs.groupBy("_x")
-        .agg(F.sum("_y").alias("_sum"))
-        .select(F.col("_x").cast("string").alias("label"), "_sum")
+        sums.select(cell_text(sums, x, LABEL_WHOLE).alias("label"), "_sum")
         .orderBy(F.desc("_sum"), "label")
         .limit(k)
     )
@@ -145,7 +150,7 @@ def value_counts_top(df: DataFrame, x: str, k: int = PIE_SIZE, weight: str | Non
     """
     rows = F.col(weight) if weight else F.lit(1)
     top = (
-        df.select(present(df, x).cast("string").alias("label"), rows.cast("long").alias("_rows"))
+        df.select(cell_text(df, x, LABEL_WHOLE).alias("label"), rows.cast("long").alias("_rows"))
         .where("label is not null")
         .groupBy("label")
         .agg(F.sum("_rows").alias("n"))
@@ -235,7 +240,7 @@ def cell_formula(df: DataFrame, text: str, columns: list[str] | None = None, ind
             values.append(operand)
     result = _formula_result(call.group(1).upper(), F.col("_values"), len(values))
     return cells.select(F.array(*values).alias("_values")).select(
-        F.lit(text).alias("formula"), result.cast("string").alias("result")
+        F.lit(text).alias("formula"), number_text(result).alias("result")
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.formatting import date_label
+from tablewright.functions.formatting import cell_text, date_label
 from tablewright.functions.parsing import chart_value, column, double_of, is_number_type, present
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.rowindex import running_total
@@ -24,7 +24,7 @@ TREND_LIFT = 1.1
 
 
 def axis_label(df: DataFrame, name: str) -> Column:
-    return F.coalesce(present(df, name).cast("string"), F.lit(""))
+    return F.coalesce(cell_text(df, name), F.lit(""))
 
 
 def axis_value(df: DataFrame, name: str) -> Column:
@@ -131,7 +131,7 @@ def pareto(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def box_plot(df: DataFrame, x: str, y: str, limit: int | None = None) -> DataFrame:
     """``(label, n, low, q1, median, q3, high)`` per group, exact for groups of any size."""
-    points = df.select(present(df, x).cast("string").alias("label"), double_of(df, y).alias("value"))
+    points = df.select(cell_text(df, x).alias("label"), double_of(df, y).alias("value"))
     found = exact_quantiles(points, F.col("value"), [0, 0.25, 0.5, 0.75, 1], ["label"], limit)
     parts = ["low", "q1", "median", "q3", "high"]
     return found.select(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.formatting import cell_text
 from tablewright.functions.parsing import column, is_text_type
 from tablewright.operators.rowindex import INDEX
 
@@ -40,9 +43,9 @@ def fill_empty(df: DataFrame, fill: str = "0") -> DataFrame:
 
 
 def null_to_blank(df: DataFrame, index: str = INDEX) -> DataFrame:
-    """Every cell as text, missing ones as the empty text."""
+    """Every cell as text, missing ones as the empty text; numbers as a sheet shows them, without an exponent."""
     kept = [c for c in df.columns if c == index]
-    return df.select(*kept, *[F.coalesce(column(c).cast("string"), F.lit("")).alias(c) for c in df.columns if c != index])
+    return df.select(*kept, *[F.coalesce(cell_text(df, c), F.lit("")).alias(c) for c in df.columns if c != index])
 
 
 def remove_duplicates(df: DataFrame, index: str = INDEX) -> DataFrame:
@@ -83,20 +86,30 @@ def _total(counts: list[Column]) -> Column:
     return total
 
 
+# What the log says of the cleaning steps.
+MESSAGES = {
+    "trim": "Trimmed whitespace",
+    "fill_empty": "Filled empty cells with 0",
+    "remove_duplicates": "Removed {removed} duplicates",
+    "uppercase_columns": "Columns uppercased",
+}
+
+
 class ActivityLog:
     """Counts what each cleaning step sees and changes while the steps run, without extra jobs.
 
     Wrap steps with :meth:`apply`; after the result was written or collected, :meth:`frame` gives
-    ``(step, op, rows_in, rows_out, cells_changed)``.
+    ``(step, op, rows_in, rows_out, cells_changed)`` and :meth:`entries` the log as shown, newest first.
     """
 
     def __init__(self) -> None:
-        self._steps: list[tuple[str, Observation, Observation]] = []
+        self._steps: list[tuple[str, str, datetime, Observation, Observation]] = []
 
-    def apply(self, df: DataFrame, op: str, step, changes=None) -> DataFrame:
-        """``changes`` maps the input to an aggregate such as :func:`cells_to_trim`."""
+    def apply(self, df: DataFrame, op: str, step, changes=None, message: str | None = None) -> DataFrame:
+        """``changes`` maps the input to an aggregate such as :func:`cells_to_trim`; ``message`` is what the log says of the step, with
+        ``{removed}`` for the number of rows that it took away."""
         before, after = Observation(), Observation()
-        self._steps.append((op, before, after))
+        self._steps.append((op, message or MESSAGES.get(op, op), datetime.now(timezone.utc), before, after))
         counted = [F.count(F.lit(1)).alias("rows")] + ([changes(df).alias("cells")] if changes else [])
         seen = df.observe(before, *counted)
         return step(seen).observe(after, F.count(F.lit(1)).alias("rows"))
@@ -104,10 +117,19 @@ class ActivityLog:
     def frame(self, spark) -> DataFrame:
         rows = [
             (i, op, before.get["rows"], after.get["rows"], before.get.get("cells"))
-            for i, (op, before, after) in enumerate(self._steps)
+            for i, (op, _, _, before, after) in enumerate(self._steps)
         ]
         return spark.createDataFrame(rows, "step int, op string, rows_in bigint, rows_out bigint, cells_changed bigint")
 
+    def entries(self, spark) -> DataFrame:
+        """``(position, time, message, removed, changed)`` of every step, the newest at position 0."""
+        rows = [
+            (i, at, message.replace("{removed}", str(removed)), removed, before.get.get("cells"))
+            for i, (_, message, at, before, after) in enumerate(reversed(self._steps))
+            for removed in [before.get["rows"] - after.get["rows"]]
+        ]
+        return spark.createDataFrame(rows, "position int, time timestamp, message string, removed bigint, changed bigint")
+
 
 def cleaning_counts(df: DataFrame) -> DataFrame:
     """Per text column: ``(col, untrimmed, blank, missing)``; how many cells the cleaners would touch."""

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.parsing import column, present
+from tablewright.functions.formatting import cell_text
+from tablewright.functions.parsing import present
 from tablewright.operators.rowindex import INDEX
 
 
@@ -17,7 +18,7 @@ def search(df: DataFrame, text: str, columns: list[str] | None = None, index: st
         return df
     columns = columns or [c for c in df.columns if c != index]
     needle = F.lit(text.lower())
-    hits = [F.contains(F.lower(column(c).cast("string")), needle) for c in columns]
+    hits = [F.contains(F.lower(cell_text(df, c)), needle) for c in columns]
     return df.where(reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in hits]))
 
 

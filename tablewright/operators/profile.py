@@ -1,15 +1,13 @@
 """Column roles from the data: numeric, date, categorical, text, nested or empty.
 
 The first scan counts values, parsable numbers and date-like texts. Date-like columns are read again
-to choose a format and count by it, and the other non-numeric texts to count distinct values. On
-large tables that last count is screened by a sample of the value space, so a column of nearly
-unique texts is never shuffled. Columns whose Spark type decides the role cost one counter each.
+to choose a format and count by it, and the other non-numeric texts to count distinct values, by digests, so texts
+are never shuffled. Columns whose Spark type decides the role cost one counter each.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +23,7 @@ from tablewright.functions.parsing import (
     numeric,
     present,
 )
+from tablewright.operators.distinct import distinct_counts
 
 # The share rules.
 NUMERIC_SHARE = 0.7
@@ -32,13 +31,6 @@ DATE_SHARE = 0.6
 CATEGORY_FLOOR = 50
 CATEGORY_SHARE = 0.3
 
-# Columns with more rows are screened first: of every 2**k hash values one is kept, so that a column
-# exactly at the category limit keeps about SCREEN_VALUES values (0.4% standard error). The screen
-# alone rejects a column only beyond SCREEN_MARGIN, over 20 standard errors above the limit.
-SCREEN_ROWS = 1_000_000
-SCREEN_VALUES = 65_536
-SCREEN_MARGIN = 1.1
-
 ROLES = ["numeric", "date", "categorical", "text", "nested", "empty"]
 PROFILE_SCHEMA = (
     "col string, pos int, n bigint, n_num bigint, n_date bigint, n_distinct bigint, role string, date_format string"
@@ -159,27 +151,12 @@ def _find_dates(df: DataFrame, texts: list[ColumnProfile], order_by: list[str] |
 
 
 def _find_categories(df: DataFrame, texts: list[ColumnProfile]) -> None:
-    """Marks text columns with few distinct values, and counts those exactly."""
-    large = [p for p in texts if p.n > SCREEN_ROWS]
-    rejected = set()
-    if large:
-        bits = {p.pos: max(0, int(log2(category_limit(p.n) / SCREEN_VALUES))) for p in large}
-        kept = [
-            F.countDistinct(
-                F.when(F.xxhash64(column(p.name)).bitwiseAND((1 << bits[p.pos]) - 1) == 0, column(p.name))
-            ).alias(f"u{p.pos}")
-            for p in large
-        ]
-        sampled = df.agg(*kept).first()
-        rejected = {
-            p.pos for p in large if (sampled[f"u{p.pos}"] << bits[p.pos]) > SCREEN_MARGIN * category_limit(p.n)
-        }
-    left = [p for p in texts if p.pos not in rejected]
-    if not left:
+    """Counts distinct values of text columns, and marks those with few."""
+    if not texts:
         return
-    counts = df.agg(*[F.countDistinct(column(p.name)).alias(f"u{p.pos}") for p in left]).first()
-    for p in left:
-        p.n_distinct = counts[f"u{p.pos}"]
+    counts = {r["place"]: r["n_distinct"] for r in distinct_counts(df, [column(p.name) for p in texts]).collect()}
+    for i, p in enumerate(texts):
+        p.n_distinct = counts.get(i, 0)
         if p.n_distinct <= category_limit(p.n):
             p.role = "categorical"
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.formatting import cell_text
 from tablewright.functions.parsing import column
 from tablewright.operators.rowindex import INDEX, dense_index
 
@@ -36,7 +37,7 @@ def delimited_lines(df: DataFrame, columns: list[str]) -> Column:
     """One row as delimited text: every value quoted, quotes doubled, missing values empty."""
     cells = [
         F.concat(
-            F.lit('"'), F.replace(F.coalesce(column(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')
+            F.lit('"'), F.replace(F.coalesce(cell_text(df, c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')
         )
         for c in columns
     ]
@@ -50,7 +51,7 @@ def header_line(columns: list[str]) -> str:
 def write_delimited(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """The whole table as quoted delimited files with a header each, columns in the given order."""
     columns = columns or df.columns
-    cells = [F.coalesce(column(c).cast("string"), F.lit("")).alias(c) for c in columns]
+    cells = [F.coalesce(cell_text(df, c), F.lit("")).alias(c) for c in columns]
     writer = df.select(*cells).write.mode("overwrite").option("header", True).option("quoteAll", True)
     # Without these the writer would strip blanks and line breaks at the ends of cells.
     writer.options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

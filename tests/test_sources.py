@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablewright.sources import delimited, readers, sheets, writers
 from tablewright.sources.catalog import Catalog, with_owner
 from tablewright.sources.order import placed, source_index
-from tablewright.streaming.ingest import ingest_folder, ingested
+from tablewright.streaming.ingest import ingest_folder, ingest_status, ingested
 
 
 def write(path, text):
@@ -396,3 +396,41 @@ def test_incremental_ingest(spark, tmp_path):
     assert {(r.row_index, r.v) for r in df.collect() if r.v == 4} == {(3, 4)}
     status = spark.read.parquet(f"{target}/status")
     assert status.agg(F.sum("n_rows")).first()[0] == 4
+
+
+@pytest.mark.parametrize("per_batch", [1, 100])
+def test_ingest_sets_bad_files_aside(spark, tmp_path, per_batch):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for k in range(6):
+        write(source / f"f{k}.json", "".join(json.dumps({"v": 10 * k + i}) + "\n" for i in range(k + 1)))
+    write(source / "f2.json", '{"v": 1}\n{"v": \n')
+    write(source / "f4.json", '{"v": "no number"}\n')
+
+    def run(mark):
+        ingest_folder(spark, str(source), "v int", target, str(tmp_path / mark), files_per_batch=per_batch).awaitTermination()
+        return sorted((r.row_index, r.v) for r in ingested(spark, target).collect())
+
+    got = run("mark")
+    assert [i for i, _ in got] == list(range(13))
+    assert sorted(v for _, v in got) == sorted(10 * k + i for k in (0, 1, 3, 5) for i in range(k + 1))
+    if per_batch > 1:
+        assert [v for _, v in got] == [10 * k + i for k in (0, 1, 3, 5) for i in range(k + 1)]
+    status = {r.file.rsplit("/", 1)[1]: r for r in ingest_status(spark, target).collect()}
+    assert {f: (r.status, r.n_rows) for f, r in status.items()} == {
+        "f0.json": ("ready", 1), "f1.json": ("ready", 2), "f2.json": ("error", 0), "f3.json": ("ready", 4), "f4.json": ("error", 0), "f5.json": ("ready", 6)
+    }
+    assert "MALFORMED" in status["f2.json"].error_message.upper() and status["f0.json"].error_message == ""
+    if per_batch > 1:
+        assert run("again") == got  # the same batch once more, as after a failure
+
+
+def test_ingest_of_bad_files_only(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    write(source / "a.json", "{")
+    ingest_folder(spark, str(source), "v int", target, str(tmp_path / "mark")).awaitTermination()
+    assert [r.status for r in ingest_status(spark, target).collect()] == ["error"]
+    write(source / "b.json", '{"v": 1}\n')
+    ingest_folder(spark, str(source), "v int", target, str(tmp_path / "mark")).awaitTermination()
+    assert [(r.row_index, r.v) for r in ingested(spark, target).collect()] == [(0, 1)]

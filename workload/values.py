@@ -390,7 +390,7 @@ CELLS = "(SELECT row_number() OVER (ORDER BY c_custkey) AS r, * FROM customer)"
     SELECT '=SUM(D1,D2,2.5)' AS formula, CAST(round(a + b + 2.5, 4) AS VARCHAR) AS result FROM v
     UNION ALL SELECT '=MAX(D1,D2)', CAST(greatest(a, b) AS VARCHAR) FROM v
     UNION ALL SELECT '=MEDIAN(D1,D2,C3)', CAST(round(list_sort([a, b, CAST(c AS DOUBLE)])[2], 4) AS VARCHAR) FROM v
-    UNION ALL SELECT '=COUNT(D1,B2,Z9,x)', '4.0' FROM v
+    UNION ALL SELECT '=COUNT(D1,B2,Z9,x)', '4' FROM v
     UNION ALL SELECT '=AVERAGE(D1,B2)', CAST(round(a / 2, 4) AS VARCHAR) FROM v
     UNION ALL SELECT '=VARIANCE(D1,D2)', CAST(round((a - b) * (a - b) / 4, 4) AS VARCHAR) FROM v""",
 )
