@@ -25,7 +25,15 @@ DATE_LAYOUTS = [
     ("d b Y", r"\d{1,2} [A-Z][a-z]{2} \d{4}", "d MMM yyyy"),
     ("B d, Y", r"[A-Z][a-z]{3,8} \d{1,2}, \d{4}", "MMMM d, yyyy"),
     ("d B Y", r"\d{1,2} [A-Z][a-z]{3,8} \d{4}", "d MMMM yyyy"),
+    ("m/d/y", r"(\d{1,2})/(\d{1,2})/(\d{2})", "$3-$1-$2"),
+    ("d/m/y", r"(\d{1,2})/(\d{1,2})/(\d{2})", "$3-$2-$1"),
+    ("m-d-y", r"(\d{1,2})-(\d{1,2})-(\d{2})", "$3-$1-$2"),
+    ("d-m-y", r"(\d{1,2})-(\d{1,2})-(\d{2})", "$3-$2-$1"),
+    ("m.d.y", r"(\d{1,2})\.(\d{1,2})\.(\d{2})", "$3-$1-$2"),
+    ("d.m.y", r"(\d{1,2})\.(\d{1,2})\.(\d{2})", "$3-$2-$1"),
 ]
+# Fixed value: two-digit years from here on are of the last century.
+LAST_CENTURY = 69
 # Accepted time-of-day endings for the numeric layouts.
 TIME_LAYOUTS = [
     ("", ""),
@@ -36,6 +44,12 @@ TIME_LAYOUTS = [
     ("TH:M:S", r"T(\d{1,2}:\d{2}:\d{2})"),
     ("TH:M:S.f", r"T(\d{1,2}:\d{2}:\d{2}\.\d{1,9})"),
 ]
+# Endings in half days, and what may follow a time of day as its zone.
+HALF_DAY_LAYOUTS = [
+    (" I:M p", r"[ ]((?:0?[1-9]|1[0-2]):\d{2}) ?[AaPp][Mm]"),
+    (" I:M:S p", r"[ ]((?:0?[1-9]|1[0-2]):\d{2}:\d{2}) ?[AaPp][Mm]"),
+]
+ZONE = r"(?:Z|[+-]\d{2}:?\d{2})"
 
 
 @dataclass(frozen=True)
@@ -45,12 +59,23 @@ class DateFormat:
     name: str
     pattern: str
     target: str
+    short_year: bool = False
+    half_days: bool = False
 
     def parse(self, text: Column) -> Column:
-        """TIMESTAMP_NTZ, or NULL where the text is not exactly of this format."""
+        """TIMESTAMP_NTZ, or NULL where the text is not exactly of this format.
+
+        A zone is read but not applied: the time is the one that the text shows.
+        """
         if "$" in self.target:
             iso = F.regexp_replace(text, self.pattern, self.target)
+            if self.short_year:
+                iso = F.concat(F.when(F.substring(iso, 1, 2) >= str(LAST_CENTURY), F.lit("19")).otherwise(F.lit("20")), iso)
             value = iso.try_cast("timestamp_ntz")
+            if self.half_days:
+                noon = F.make_dt_interval(F.lit(0), F.lit(12))
+                late, twelve = F.lower(text).endswith("pm"), F.hour(value) == 12
+                value = F.when(late & ~twelve, value + noon).when(~late & twelve, value - noon).otherwise(value)
         else:
             value = F.try_to_date(text, self.target).cast("timestamp_ntz")
         return F.when(text.rlike(self.pattern), value)
@@ -59,12 +84,16 @@ class DateFormat:
 def _formats() -> list[DateFormat]:
     found = []
     for name, pattern, target in DATE_LAYOUTS:
-        for ending, time_pattern in TIME_LAYOUTS:
-            if not time_pattern:
-                found.append(DateFormat(name, f"^{pattern}$", target))
-            elif "$" in target and name != "Y-m":
-                group = target.count("$") + 1
-                found.append(DateFormat(name + ending, f"^{pattern}{time_pattern}$", f"{target} ${group}"))
+        short = name.endswith("y")
+        found.append(DateFormat(name, f"^{pattern}$", target, short))
+        if "$" not in target or name == "Y-m":
+            continue
+        timed = f"{target} ${target.count('$') + 1}"
+        for ending, time_pattern in TIME_LAYOUTS[1:]:
+            found.append(DateFormat(name + ending, f"^{pattern}{time_pattern}$", timed, short))
+            found.append(DateFormat(f"{name}{ending}z", f"^{pattern}{time_pattern}{ZONE}$", timed, short))
+        for ending, time_pattern in HALF_DAY_LAYOUTS:
+            found.append(DateFormat(name + ending, f"^{pattern}{time_pattern}$", timed, short, True))
     return found
 
 

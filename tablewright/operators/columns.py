@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.names import clean_names
 from tablewright.functions.parsing import column
@@ -33,12 +34,19 @@ def add_column(df: DataFrame, name: str | None = None, default="") -> DataFrame:
 def write_scalar(df: DataFrame, value, name: str, index: str = INDEX) -> DataFrame:
     """Puts ``value`` into the last row of column ``name``.
 
-    A new column is blank elsewhere; an existing one keeps its other cells. The last row is found by
-    a scalar subquery, so the table is neither sorted nor joined.
+    A new column is of text and blank elsewhere; an existing one keeps its type and its other cells, and a value that is none of its
+    type is an error. The last row is found by a scalar subquery, so the table is neither sorted nor joined.
     """
     last = df.agg(F.max(index)).scalar()
-    old = column(name).cast("string") if name in df.columns else F.lit("")
-    return df.withColumn(name, F.when(F.col(index) == last, F.lit(value).cast("string")).otherwise(old))
+    if name not in df.columns:
+        return df.withColumn(name, F.when(F.col(index) == last, F.lit(value).cast("string")).otherwise(F.lit("")))
+    kind = df.schema[name].dataType
+    new = F.lit(value).cast("string")
+    if not isinstance(kind, T.StringType):
+        if value is not None and df.sparkSession.range(1).select(new.try_cast(kind)).first()[0] is None:
+            raise ValueError(f"{value!r} is no value of column {name!r} ({kind.simpleString()})")
+        new = new.try_cast(kind)
+    return df.withColumn(name, F.when(F.col(index) == last, new).otherwise(column(name)))
 
 
 def function_to_column(df: DataFrame, fn: str, name: str, result: str, index: str = INDEX) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tablewright.functions.parsing import column
 from tablewright.operators import charts, cleaning, columns, edits, filters, ordering
 from tablewright.operators.aggregates import column_function
-from tablewright.operators.rowindex import INDEX
+from tablewright.operators.rowindex import INDEX, dense_index
 
 
 def _sort(df, a):
@@ -52,11 +53,26 @@ ACTIONS = {
 }
 
 
+#: Actions that take rows away and leave their indices out, and those that go by the places of rows.
+THINNING = {"keep", "search", "complete_cases", "remove_duplicates"}
+PLACED = {"add_row", "update_cell", "delete_row"}
+
+
 def run_recipe(df: DataFrame, actions: list[dict]) -> DataFrame:
-    """Applies ``[{"action": ..., parameters}, ...]`` in order; an unknown action is an error."""
+    """Applies ``[{"action": ..., parameters}, ...]`` in order; an unknown action is an error.
+
+    An action that goes by the place of a row after others have taken rows away finds the rows numbered anew.
+    """
     unknown = [a.get("action") for a in actions if a.get("action") not in ACTIONS]
     if unknown:
         raise ValueError(f"unknown actions: {unknown}")
+    thinned = False
     for action in actions:
-        df = ACTIONS[action["action"]](df, action)
+        name = action["action"]
+        if thinned and name in PLACED and INDEX in df.columns:
+            names = df.columns
+            df = dense_index(df.withColumnRenamed(INDEX, "_thinned"), ["_thinned"]).select(*[column(c) for c in names])
+            thinned = False
+        df = ACTIONS[name](df, action)
+        thinned = thinned or name in THINNING
     return df

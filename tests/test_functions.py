@@ -123,3 +123,21 @@ def test_column_letters():
     assert [names.letters(i) for i in (0, 25, 26, 51, 701, 702)] == ["A", "Z", "AA", "AZ", "ZZ", "AAA"]
     assert all(names.position(names.letters(i)) == i for i in range(2000))
     assert names.position("aa") == 26
+
+
+def test_dates_with_zones_half_days_and_short_years(values):
+    from tablewright.functions import dates
+
+    cases = {
+        "2024-01-05T10:00:00Z": "2024-01-05 10:00:00",
+        "2024-01-05 10:00:00.5+0530": "2024-01-05 10:00:00.500000",
+        "01/05/24": "2024-01-05 00:00:00",
+        "13/05/69": "1969-05-13 00:00:00",
+        "01/05/2024 12:05 AM": "2024-01-05 00:05:00",
+        "01/05/2024 12:05pm": "2024-01-05 12:05:00",
+        "1/5/2024 9:05:07 PM": "2024-01-05 21:05:07",
+    }
+    for text, want in cases.items():
+        assert str(values([text], dates.format_of(text).parse)[0]) == want
+    assert dates.format_of("01/05/2024 13:05 PM") is None
+    assert values(["01/05/2024 00:05 AM", "01/32/24"], dates.format_named("m/d/Y I:M p").parse) == [None, None]

@@ -233,3 +233,26 @@ def test_clean_dashboard_reads_only_used_columns(table):
 def test_ranked_bars_without_categories(spark):
     board = dashboard(spark.createDataFrame([(1.0, 2), (5.5, 3)], "v double, w int"))
     assert [tuple(r) for r in views.ranked_bars(board).orderBy("rank").collect()] == [(1, "5.5", 5.5), (2, "1", 1.0)]
+
+
+def test_recipe_numbers_rows_anew_before_places_count(spark):
+    from tablewright.plans.recipe import run_recipe
+
+    df = spark.createDataFrame([(i, i % 3, f"n{i}") for i in range(12)], "row_index bigint, k int, s string")
+    keep = {"action": "keep", "condition": "k <> 0"}
+    assert sorted(r.row_index for r in run_recipe(df, [keep]).collect()) == [1, 2, 4, 5, 7, 8, 10, 11]
+    got = run_recipe(df, [keep, {"action": "delete_row", "row_index": 1}, {"action": "update_cell", "row_index": 0, "column": "s", "value": "first"}])
+    assert sorted((r.row_index, r.s) for r in got.collect()) == list(enumerate(["first", "n4", "n5", "n7", "n8", "n10", "n11"]))
+
+
+def test_written_scalar_keeps_the_type(spark):
+    from tablewright.operators import columns
+
+    df = spark.createDataFrame([(0, 1.5, "a"), (1, 2.5, "b")], "row_index bigint, v double, s string")
+    got = columns.write_scalar(df, 7, "v")
+    assert dict(got.dtypes)["v"] == "double" and [r.v for r in got.orderBy("row_index").collect()] == [1.5, 7.0]
+    assert [r.s for r in columns.write_scalar(df, 7, "s").orderBy("row_index").collect()] == ["a", "7"]
+    import pytest
+
+    with pytest.raises(ValueError, match="no value of column 'v'"):
+        columns.write_scalar(df, "lots", "v")

@@ -239,6 +239,43 @@ def _(t):
     return prof.profile_frame(messy_dates(t("orders")), order_by=["o_orderkey"])
 
 
+ZONED = {"d_z": "Y-m-dTH:M:Sz", "d_offset": "Y-m-d H:M:Sz", "d_half": "m/d/Y I:M p", "d_short": "m/d/y"}
+
+
+def zoned_dates(t) -> DataFrame:
+    """Orders with a time of day, as text with zones, half days and two-digit years."""
+    at = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"), F.lit(30))
+    return t("orders").select(
+        "o_orderkey",
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("d_z"),
+        F.date_format(at, "yyyy-MM-dd HH:mm:ss'+05:30'").alias("d_offset"),
+        F.date_format(at, "MM/dd/yyyy hh:mm a").alias("d_half"),
+        F.date_format(at, "MM/dd/yy").alias("d_short"),
+    )
+
+
+@query(
+    "profile_dates_with_zone",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS col, {i} AS pos, count(*) AS n, 0 AS n_num, count(*) AS n_date, CAST(NULL AS BIGINT) AS n_distinct, 'date' AS role, '{f}' AS date_format FROM orders"""
+        for i, (c, f) in enumerate(ZONED.items())
+    ),
+)
+def _(t):
+    return prof.profile_frame(zoned_dates(t).drop("o_orderkey"))
+
+
+@query(
+    "parse_dates_with_zone",
+    """SELECT o_orderkey, moment AS d_z, moment AS d_offset, moment AS d_half, CAST(CAST(moment AS DATE) AS TIMESTAMP) AS d_short
+    FROM (SELECT o_orderkey, o_orderdate + (o_orderkey % 24) * INTERVAL 1 HOUR + INTERVAL 30 MINUTE AS moment FROM orders)""",
+)
+def _(t):
+    df = zoned_dates(t)
+    found = prof.parse_dates(df, list(ZONED), ["o_orderkey"])
+    return df.select("o_orderkey", *[c.alias(n) for n, c in found.items()])
+
+
 # -- column functions ---------------------------------------------------------------------------
 
 SQL_FUNCTIONS = {
