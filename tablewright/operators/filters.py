@@ -13,12 +13,15 @@ from tablewright.operators.rowindex import INDEX
 
 
 def search(df: DataFrame, text: str, columns: list[str] | None = None, index: str = INDEX) -> DataFrame:
-    """Rows where the text form of any cell contains ``text``, ignoring case; empty text keeps all."""
+    """Rows where the text form of any cell contains ``text``, ignoring case; empty text keeps all.
+
+    Numbers are written out without an exponent; whole ones of a column with fractions are found with and without ``.0``.
+    """
     if not text:
         return df
     columns = columns or [c for c in df.columns if c != index]
     needle = F.lit(text.lower())
-    hits = [F.contains(F.lower(cell_text(df, c)), needle) for c in columns]
+    hits = [F.contains(F.lower(cell_text(df, c, ".0")), needle) for c in columns]
     return df.where(reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in hits]))
 
 

@@ -93,8 +93,9 @@ def _ranked(rows: DataFrame, large: DataFrame, probs: list[float], by: list[str]
     out = []
     for p in probs:
         a, b = F.col("_at")[F.floor(_spot(p))], F.col("_at")[F.ceil(_spot(p))]
-        share = _spot(p) - F.floor(_spot(p))
-        out.append(F.when(a == b, a).otherwise(a + (b - a) * share))
+        # The arithmetic of ``percentile``, so that the size of a group decides no digit.
+        between = (F.ceil(_spot(p)) - _spot(p)) * a + (_spot(p) - F.floor(_spot(p))) * b
+        out.append(F.when(a == b, a).otherwise(between))
     return joined.select(*by, "n", F.array(*out).alias("quantiles"))
 
 
