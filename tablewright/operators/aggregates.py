@@ -191,6 +191,7 @@ def share_of_total(slices: DataFrame, value: str = "n") -> DataFrame:
 
 # -- cell formulas ------------------------------------------------------------------------------
 
+# How a formula and a cell are written.
 _CALL = re.compile(r"^=\s*([A-Z]+)\((.+)\)$", re.IGNORECASE | re.DOTALL)
 _CELL = re.compile(r"^([A-Z]+)(\d+)$", re.IGNORECASE)
 # Functions a cell formula knows (population deviation and variance).

@@ -120,6 +120,7 @@ def insights(dash: DataFrame) -> DataFrame:
 def kpi_cards(dash: DataFrame) -> DataFrame:
     """``(position, label, value, sub, note, trend_up)``: records, then sum, mean and peak of the first KPI."""
     f = F.col
+    # The labels of the cards.
     cards = [
         (F.lit("Total Records"), f("rows"), "Dataset Size", F.concat(f("cols").cast("int").cast("string"), F.lit(" columns")), F.lit(True)),
         (f("kpi"), f("k_sum"), "Total SUM", F.concat(F.lit("Avg "), compact_number(f("k_mean"))), F.lit(True)),
