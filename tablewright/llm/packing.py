@@ -7,12 +7,17 @@ documents spread over partitions), and the token stream along the curve is cut e
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -81,12 +86,31 @@ def curve_keys(w: Words, dims: int = DIMS, bits: int = BITS) -> np.ndarray:
     return hilbert_key(grid.astype(np.int64), bits)
 
 
+# The normaliser and the pre-tokenizer of the kind of tokenizer whose texts can be taken apart, as its file states them.
+_NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+# A word of Latin letters, of which all Unicode versions say the same, and signs behind it. The capital I with a
+# dot (U+0130) is left out: in lower case it is a letter and a mark, which is no letter.
+_WORD_AND_SIGNS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?%&*#$]*)")
+
+#: The characters that a byte-level model has for the bytes: printable ones stand for themselves, others follow from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+
+
 class ChunkTokenizer:
-    """Ids of whole texts by a lower-casing tokenizer that parts at white space, and letters from signs.
+    """Ids of whole texts by a lower-casing byte-level tokenizer that parts at white space, and letters from signs.
 
-    Such a tokenizer gives a text the ids of its chunks between blanks and line ends, one after the other, so
-    chunks are remembered. The memory is bounded and only saves time. Whether the tokenizer is of that kind is tried on a
-    few texts; any other gets whole texts.
+    The rules that its file states say whether it is of that kind. Then a text has the ids of its chunks between blanks and line ends, one
+    after the other, and a word of Latin letters is one piece to the model, which is asked for it directly. Chunks are
+    remembered; the memory is bounded and only saves time. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -96,45 +120,68 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
-        self.parts = True
-        probe = ["It isn't; THE end!! x%%%\n\n  Ünder ça, y2k... a.b", "one  two\nthree"]
-        self.parts = [self._whole(t) for t in probe] == self(probe)
+        rules = json.loads(self.tokenizer.to_str())
+        self.parts = (
+            (rules["normalizer"] or {}).get("normalizers") == _NORMALISERS
+            and (rules["pre_tokenizer"] or {}).get("pretokenizers") == [_SPLIT, _BYTE_LEVEL]
+            and rules["truncation"] is None
+            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["content"].isalpha() for t in rules["added_tokens"])
+        )
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian numbers of ``dtype``."""
+    def _learn(self, chunks: set[str]) -> None:
+        """Remembers the ids of chunks: a word and the signs behind it have ids of their own, other chunks stay whole."""
+        known, tokenize, pack = self.known, self.tokenizer.model.tokenize, array("H" if self.dtype == "<u2" else "I")
+        other, composed = set(), []
+        for chunk in chunks:
+            found = _WORD_AND_SIGNS.fullmatch(chunk)
+            if found is None:
+                other.add(chunk)
+                continue
+            word, signs = found.groups()
+            word = word.lower()
+            if word not in known:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                known[word] = _packed(pack, [t.id for t in tokenize(letters)])
+            if signs and signs not in known:
+                other.add(signs)
+            if word != chunk:
+                composed.append((chunk, word, signs))
+        rest = list(other)
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[c] = _packed(pack, e.ids)
+        for chunk, word, signs in composed:
+            known[chunk] = known[word] + known[signs] if signs else known[word]
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text (a null text has none) as little-endian numbers of ``dtype``.
+
+        Each different chunk is looked up once in a call, and its ids are then taken to all its places.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.parts:
-            return [self._whole(t) for t in texts]
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+            return pa.array([self._whole(t) for t in texts.to_pylist()], pa.large_binary())
         if len(self.known) > CACHE_CHUNKS:
             self.known = {}
-        known = self.known
-        new = {c: _parts(c) for c in set().union(*chunks).difference(known)}
-        parts = list({p for both in new.values() for p in both if p not in known})
-        for c, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, self.dtype).tobytes()
-        for c, both in new.items():
-            if c not in known:
-                known[c] = b"".join(map(known.__getitem__, both))
-        return [b"".join(map(known.__getitem__, row)) for row in chunks]
+        rows = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        places = pc.dictionary_encode(rows.flatten())
+        chunks = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn({c for c in chunks if c not in self.known})
+        taken = pa.array([self.known[c] for c in chunks], pa.large_binary()).take(places.indices)
+        # The bytes now stand in the order of the texts: only the bounds between texts are wanted, not those between chunks.
+        per_row = np.append(0, np.cumsum(pc.list_value_length(rows).to_numpy()))
+        bounds = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1][per_row] if len(taken) else np.zeros(len(texts) + 1, np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds), taken.buffers()[2]])
 
 
-# Signs that such a tokenizer parts from the letters before them.
-_SIGNS = ".,;:!?%&*#$"
-
-
-def _parts(chunk: str) -> tuple[str, ...]:
-    """A word and the signs behind it, which get ids of their own; letters of any case get the same ids.
-
-    Only for words of Latin letters, of which all Unicode versions say the same; other chunks stay whole.
-    """
-    word = chunk.rstrip(_SIGNS)
-    if not word.isalpha() or max(word) > "\u024f":
-        return (chunk,)
-    folded = word.lower() if word.isascii() else word
-    return (folded, chunk[len(word) :]) if len(word) < len(chunk) else (folded,)
+def _packed(kind: array, ids: list[int]) -> bytes:
+    """Numbers as the little-endian bytes of an array of that kind."""
+    made = array(kind.typecode, ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
@@ -160,8 +207,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
     def encode(texts: pa.Array) -> list[pa.Array]:
         keys = curve_keys(Words(texts))
         tokenizer = tokenizer_of(vocabulary)
-        ids, width = tokenizer([t or "" for t in texts.to_pylist()]), np.dtype(tokenizer.dtype).itemsize
-        return [pa.array(keys), pa.array([len(i) // width + 1 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())]
+        ids, width = tokenizer(texts), np.dtype(tokenizer.dtype).itemsize
+        tokens = pc.binary_length(ids).to_numpy() // width + 1
+        return [pa.array(keys), pa.array(tokens, pa.int64()), ids.cast(pa.binary()), pa.array(np.full(len(ids), width, np.int32))]
 
     source = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text"))
     coded = append_columns(source, ["text"], "key long, doc_tokens long, ids binary, width int", encode).drop("text")

@@ -1,11 +1,13 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tablewright.llm.packing import hilbert_key, pack_documents
+from tablewright.llm.packing import ChunkTokenizer, hilbert_key, pack_documents
 from tablewright.llm.queries import PACKING_VOCABULARY, QUERIES
 from tests.conftest import SF_DIR
 
@@ -72,3 +74,19 @@ def test_neighbours_share_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     order = [r.doc_id % 2 for r in pack_documents(docs, PACKING_VOCABULARY).orderBy("sequence_id", "offset").collect() if r.start == 0]
     assert sum(a != b for a, b in zip(order, order[1:])) == 1
+
+
+def test_chunks_have_the_ids_of_whole_texts():
+    """Every Latin letter alone, in words and beside signs, marks, digits and white space of all kinds."""
+    letters = [chr(i) for i in range(0x250)]
+    pool = [*letters, *"abcABC İıſßŁ.,;!?%'s 't\n\t<|>", "́", "中", "ﬁ", "Ⅷ", "٣"]
+    draw = random.Random(8)
+    texts = ["".join(draw.choices(pool, k=draw.randint(0, 30))) for _ in range(3000)] + [f"a{x}b" for x in letters]
+    texts += ["<|endoftext|> x<|startoftext|>y", "it's. He'll", "", " \n ", "aI" * 5000]
+    tokenizer = ChunkTokenizer(PACKING_VOCABULARY)
+    assert tokenizer.parts
+    for _ in range(2):  # the second time from memory
+        got = tokenizer(pa.array([*texts, None])).to_pylist()
+        assert got == [tokenizer._whole(t) for t in texts] + [b""]
+    assert tokenizer(pa.array([], pa.string())).to_pylist() == []
+    assert tokenizer(pa.array([None], pa.string())).to_pylist() == [b""]
