@@ -168,16 +168,25 @@ def spaced_words(text: str, restore: Restorer) -> list[str]:
     return out
 
 
-def restored_words(token: str, restore: Restorer) -> list[str]:
-    """Lower-case words of a white-space-free token, after restoration."""
+_EDGES = ".,;:\"'?%&*#-–—…<>[]{}()/\\=~^`_"
+
+
+def read_words(token: str, restore: Restorer) -> list[str]:
+    """The words, in lower case and in order, that a white-space-free token is most likely to stand for."""
     if is_plain(token):
         return [token.lower()]
-    bare = token.strip(".,;:\"'?%&*#-–—…<>[]{}()/\\=~^`_").lower()
+    bare = token.strip(_EDGES).lower()
     if not any(c.isalpha() for c in bare):
         return []
-    if is_plain(bare):
-        return [bare]
-    words = restore(bare).split()
+    return [bare] if is_plain(bare) else restore(bare).split()
+
+
+def restored_words(token: str, restore: Restorer) -> list[str]:
+    """The words of a token, and the one that is left if look-alikes at its edges are punctuation."""
+    words = read_words(token, restore)
+    bare = token.strip(_EDGES).lower()
+    if is_plain(token) or is_plain(bare) or not any(c.isalpha() for c in bare):
+        return words
     tail = bare.strip("".join(LOOKALIKES))
     if tail != bare and is_plain(tail):
         words.append(tail)  # a look-alike at the edge may as well be punctuation
@@ -189,6 +198,6 @@ def restore_text(text: str, restore: Restorer) -> str:
     text = SPACED.sub(lambda m: restore(m.group(0)), text)
 
     def word(m: re.Match) -> str:
-        return m.group(0) if is_plain(m.group(0)) else " ".join(restored_words(m.group(0), restore)[:1]) or m.group(0)
+        return m.group(0) if is_plain(m.group(0)) else " ".join(read_words(m.group(0), restore)) or m.group(0)
 
     return re.sub(r"\S+", word, text)
