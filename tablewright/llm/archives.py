@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.parsing import column
 from tablewright.llm.common import map_arrow
+from tablewright.session import stored
 
 # The field names of the header lines, by version.
 ARC_FIELDS = {
@@ -284,6 +285,10 @@ def archive_round_trip(pages: DataFrame, folder: str, page_id: str = "page_id",
     spark = pages.sparkSession
     write_arc(pages, f"{folder}/arc", page_id, url, html)
     convert_arc(spark, f"{folder}/arc", f"{folder}/warc", least_bytes)
-    back = read_warc(spark, f"{folder}/warc", payloads=False).where("type in ('response', 'revisit')")
+    # The archives are read once: the narrow rows are written, and revisits alone are joined to the responses they point to.
+    back = stored(read_warc(spark, f"{folder}/warc", payloads=False).where("type in ('response', 'revisit')").drop("payload", "date"))
     ids = back.where("type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return back.join(ids, "refers_to_id", "left").select("page_id", F.col("uri").alias("url"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+    responses = back.where("type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    revisits = back.where("type = 'revisit'").join(ids, "refers_to_id", "left")
+    read = responses.unionByName(revisits)
+    return read.select("page_id", F.col("uri").alias("url"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
