@@ -19,18 +19,21 @@ PREVIEW_ROWS = 5
 
 
 SORT_KEYS = ["_number", "_text"]
+#: The collation of texts: the root order of Unicode, by letters, accents and case.
+TEXT_ORDER = "UNICODE"
 
 
 def with_mixed_keys(df: DataFrame, name: str) -> DataFrame:
-    """Adds the sort keys of a mixed column: its leading number, else its text without regard to case.
+    """Adds the sort keys of a mixed column: its leading number, else its text as readers order it.
 
-    As columns they are computed once, however often the sort samples, shuffles and compares them.
+    Texts are compared by the Unicode collation: letters first, then accents, then case (``eclair < Eclair < éclair``). As columns
+    the keys are computed once, however often the sort samples, shuffles and compares them.
     """
     c = column(name)
     if is_number_type(df.schema[name].dataType):
         return df.withColumns({"_number": c.cast("double"), "_text": F.lit(None).cast("string")})
     keyed = df.withColumn("_number", prefix(c.cast("string")))
-    return keyed.withColumn("_text", F.when(F.col("_number").isNull(), F.lower(c.cast("string"))))
+    return keyed.withColumn("_text", F.when(F.col("_number").isNull(), F.collate(c.cast("string"), TEXT_ORDER)))
 
 
 def mixed_order(ascending: bool = True) -> list[Column]:

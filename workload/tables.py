@@ -310,6 +310,30 @@ def _(t):
     return ordering.sorted_index(df, "price_txt", False, ["o_orderkey"], "position").drop("price_txt")
 
 
+# Words whose order by code points, by letters alone and by the Unicode collation differ.
+_WORDS = ["zebra", "Éclair", "eclair", "Zebra", "éclair", "Eclair", "apple", "Äpfel", "_x", "naïve", "Naive", "-dash", "straße", "Strasse", "co-op", "coop", "12 monkeys", "  "]
+_LABELS = f"CASE o_orderkey % {len(_WORDS) + 1} " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(_WORDS)) + " END"
+
+
+def _labels_ranked(direction: str) -> str:
+    number = prefix_sql("label")
+    return f"""SELECT CAST(row_number() OVER (ORDER BY {number} {direction} NULLS LAST,
+        (CASE WHEN {number} IS NULL THEN label END) COLLATE "en" {direction} NULLS LAST, o_orderkey) - 1 AS BIGINT) AS position,
+      o_orderkey, label FROM (SELECT o_orderkey, {_LABELS} AS label FROM orders)"""
+
+
+@query("sort_by_locale", _labels_ranked("ASC"))
+def _(t):
+    labels = t("orders").select("o_orderkey", F.expr(_LABELS).alias("label"))
+    return ordering.sorted_index(labels, "label", True, ["o_orderkey"], "position")
+
+
+@query("sort_by_locale_descending", _labels_ranked("DESC"))
+def _(t):
+    labels = t("orders").select("o_orderkey", F.expr(_LABELS).alias("label"))
+    return ordering.sorted_index(labels, "label", False, ["o_orderkey"], "position")
+
+
 @query("sort_rows", "SELECT * FROM supplier")
 def _(t):
     return ordering.sort_rows(t("supplier"), "s_acctbal", ascending=False, tie=["s_suppkey"])
