@@ -30,14 +30,33 @@ class Catalog:
 
     Every change appends one record; the current state of a dataset is its latest record. Rows are
     written to a new version folder first and become visible by the record that names it, so a
-    failed write leaves the old version in place.
+    failed write leaves the old version in place. Record files are folded into a snapshot of latest records whenever there are
+    ``compact_at`` new ones, so the number of files does not grow with the number of changes; ``vacuum`` removes versions of
+    rows that no latest record names.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, compact_at: int = 64) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.compact_at = compact_at
         self._last_seq = 0
 
+    # -- folders
+
+    def _folder(self, path: str):
+        """The file system of a path below the root, and the path as it knows it."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
+    def _entries(self, path: str) -> list:
+        """File statuses of what lies in a folder, or nothing if there is none."""
+        fs, target = self._folder(path)
+        return list(fs.listStatus(target)) if fs.exists(target) else []
+
+    def _remove(self, path: str) -> None:
+        fs, target = self._folder(path)
+        fs.delete(target, True)
+
     # -- records
 
     def _append(self, record: dict) -> None:
@@ -46,22 +65,69 @@ class Catalog:
         fields = [part.split()[0] for part in RECORD.split(", ")]
         data = [tuple(row.get(f) for f in fields)]
         self.spark.createDataFrame(data, RECORD).coalesce(1).write.mode("append").parquet(f"{self.root}/records")
+        written = max(self._snapshots().values(), default=-1)
+        if sum(at > written for at in self._record_files().values()) >= self.compact_at:
+            self.compact()
+
+    def _record_files(self) -> dict[str, int]:
+        """Record files and when they were written."""
+        found = {e.getPath().toString(): e.getModificationTime() for e in self._entries(f"{self.root}/records")}
+        return {path: at for path, at in found.items() if path.endswith(".parquet")}
+
+    def _snapshots(self) -> dict[str, int]:
+        """Whole snapshots and when they were finished."""
+        folders = [e.getPath().toString() for e in self._entries(f"{self.root}/snapshots")]
+        ends = {f: [e.getModificationTime() for e in self._entries(f) if e.getPath().getName() == "_SUCCESS"] for f in folders}
+        return {f: at[0] for f, at in ends.items() if at}
+
+    def _latest(self, files: list[str]) -> DataFrame:
+        """The latest record of each dataset in these files, deleted ones too."""
+        records = self.spark.read.schema(RECORD).parquet(*files) if files else self.spark.createDataFrame([], RECORD)
+        return records.groupBy("dataset_id").agg(F.max_by(F.struct(*records.columns), "seq").alias("r")).select("r.*")
 
     def datasets(self) -> DataFrame:
         """Latest record of every dataset that is not deleted."""
-        try:
-            records = self.spark.read.schema(RECORD).parquet(f"{self.root}/records")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            records = self.spark.createDataFrame([], RECORD)
-        latest = records.groupBy("dataset_id").agg(F.max_by(F.struct(*records.columns), "seq").alias("r"))
-        return latest.select("r.*").where(~F.coalesce("deleted", F.lit(False)))
+        # Snapshots are listed last: what a compaction removes after the first listing is in a snapshot by then.
+        files = self._record_files()
+        return self._latest([*files, *self._snapshots()]).where(~F.coalesce("deleted", F.lit(False)))
+
+    def compact(self) -> None:
+        """Folds all records into one snapshot of latest records.
+
+        Files that were folded in the time before are removed once the new snapshot is whole; those folded now stay until the next time, for
+        readers that have listed them. Only files that the snapshot holds are removed. A record that stands twice counts once, so a
+        run that is cut short does no harm.
+        """
+        records, snapshots = self._record_files(), self._snapshots()
+        newest = max(snapshots.values(), default=-1)
+        self._latest([*records, *snapshots]).write.parquet(f"{self.root}/snapshots/{uuid.uuid4().hex}")
+        for path in [p for p, at in records.items() if at <= newest] + [p for p, at in snapshots.items() if at < newest]:
+            self._remove(path)
+
+    def vacuum(self, older_than_s: float = 7 * 24 * 3600) -> list[str]:
+        """Removes versions of rows that no latest record names, if they were last written to ``older_than_s`` seconds ago or earlier.
+
+        The age spares versions that are being written, and those that a reader may still have open. Returns their paths.
+        """
+        before = time.time() * 1000 - older_than_s * 1000
+        # Versions first, then records: a version that is named meanwhile is kept.
+        found = [
+            (d.getPath().getName(), v.getPath().getName(), v.getPath().toString())
+            for d in self._entries(f"{self.root}/rows")
+            for v in self._entries(d.getPath().toString())
+            if v.getModificationTime() <= before
+        ]
+        if not found:
+            return []
+        versions = self.spark.createDataFrame(found, "dataset_id string, version string, place string")
+        unnamed = versions.join(self.datasets().select("dataset_id", "version"), ["dataset_id", "version"], "left_anti")
+        dead = sorted(r["place"] for r in unnamed.select("place").collect())
+        for path in dead:
+            self._remove(path)
+        return dead
 
     def _size(self, path: str) -> int:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        target = hadoop.Path(path)
-        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs, target = self._folder(path)
         return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
 
     def register(self, owner: str, path: str, name: str | None = None) -> str:
@@ -170,9 +236,7 @@ class Catalog:
         """Marks the dataset deleted and removes all versions of its rows."""
         record = self.detail(dataset_id, owner)
         self._change(record, deleted=True)
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        target = hadoop.Path(f"{self.root}/rows/{dataset_id}")
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        self._remove(f"{self.root}/rows/{dataset_id}")
 
 
 def with_owner(datasets: DataFrame, users: DataFrame, key: str = "owner_id", user_key: str = "owner_id") -> DataFrame:

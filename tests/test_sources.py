@@ -362,6 +362,40 @@ def test_catalog_life(spark, catalog, tmp_path):
     assert not (tmp_path / "catalog" / "rows" / first).exists()
 
 
+def test_many_changes_leave_few_files(spark, tmp_path):
+    path = write(tmp_path / "sales.csv", "Name\nann\n")
+    catalog = Catalog(spark, str(tmp_path / "many"), compact_at=3)
+    ids = [catalog.register("u1", path, f"set {i}") for i in range(3)]
+    catalog.delete(ids[0], "u1")  # after the first snapshot; the next must remember the deletion
+    most = 0
+    for i in range(8):
+        record = catalog.detail(ids[1 + i % 2], "u1")
+        catalog._change(record, error_message=f"change {i}")
+        most = max(most, len(catalog._record_files()) + len(catalog._snapshots()))
+    assert most <= 2 * 3 + 3
+    latest = {r.dataset_id: r.error_message for r in catalog.list("u1").collect()}
+    assert latest == {ids[1]: "change 6", ids[2]: "change 7"}
+
+    # A snapshot that was not finished is not read, and folding twice changes nothing.
+    (tmp_path / "many" / "snapshots" / "broken").mkdir()
+    (tmp_path / "many" / "snapshots" / "broken" / "part-0.parquet").write_bytes(b"PAR1")
+    catalog.compact()
+    catalog.compact()
+    assert {r.dataset_id: r.error_message for r in Catalog(spark, str(tmp_path / "many")).list("u1").collect()} == latest
+
+
+def test_vacuum_removes_unnamed_versions(spark, catalog, tmp_path):
+    assert catalog.vacuum(0) == []
+    first = catalog.register("u1", write(tmp_path / "sales.csv", "Name,Pay\nann,1\nbob,2\n"))
+    catalog.ingest(first, "u1", order_by=["name"])
+    before = catalog.detail(first, "u1").version
+    catalog.save(first, "u1", catalog.rows(first, "u1"))
+    assert catalog.vacuum() == []  # too young
+    removed = catalog.vacuum(0)
+    assert [r.rsplit("/", 1)[-1] for r in removed] == [before]
+    assert catalog.rows(first, "u1").count() == 2 and catalog.vacuum(0) == []
+
+
 def test_failed_ingest_is_recorded(catalog, tmp_path):
     bad = catalog.register("u1", write(tmp_path / "bad.json", "[]"))
     with pytest.raises(ValueError):

@@ -20,9 +20,9 @@ from workload.tables import CUSTOMERS, TRIM
 # -- catalog ----------------------------------------------------------------------------------------
 
 
-def catalog_of(t) -> tuple[Catalog, dict[str, str]]:
+def catalog_of(t, **options) -> tuple[Catalog, dict[str, str]]:
     """Orders and suppliers taken in, parts registered only, and a file that is not there, of two owners."""
-    datasets = Catalog(t.spark, scratch_path(t.spark))
+    datasets = Catalog(t.spark, scratch_path(t.spark), **options)
     ids = {
         "orders": datasets.register("ann", t.path("orders")),
         "parts": datasets.register("ann", t.path("part"), "All Parts"),
@@ -54,6 +54,23 @@ def _(t):
     )
 
 
+@query(
+    "catalog_compacted",
+    """SELECT 'All Parts' AS name, 'pending' AS status, 0::BIGINT AS row_count, NULL::DOUBLE AS total, 2 AS removed_versions
+    UNION ALL SELECT 'orders.parquet', 'ready', count(*), sum(round(o_totalprice)), 2 FROM orders
+    UNION ALL SELECT 'supplier.parquet', 'ready', (SELECT count(*) FROM supplier), NULL, 2""",
+)
+def _(t):
+    """The catalog after snapshots have taken the place of its records, and unnamed versions of rows have gone."""
+    datasets, ids = catalog_of(t, compact_at=3)
+    datasets.delete(ids["absent"], "ann")
+    for _ in range(2):
+        datasets.save(ids["orders"], "ann", datasets.rows(ids["orders"], "ann").withColumn("o_totalprice", F.round(F.col("o_totalprice").cast("double"))))
+    removed = len(datasets.vacuum(0))
+    total = datasets.rows(ids["orders"], "ann").agg(F.lit("orders.parquet").alias("name"), F.sum(F.col("o_totalprice").cast("double")).alias("total"))
+    return datasets.datasets().join(total, "name", "left").select("name", "status", "row_count", "total", F.lit(removed).alias("removed_versions"))
+
+
 @query(
     "catalog_search",
     """SELECT 'name' AS search, 'All Parts' AS name, 'Ann Lee' AS username UNION ALL SELECT 'owner', 'supplier.parquet', 'Bob Ray'
