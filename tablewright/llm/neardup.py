@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tablewright.functions.parsing import column
 from tablewright.llm.common import append_columns, map_arrow, summed_arrays
 from tablewright.llm.components import components
 from tablewright.llm.words import Words, mix, slices
-from tablewright.session import stored
+from tablewright.session import broadcast_if_small, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -25,8 +26,10 @@ LEAST_AGREED = 31
 SMALL_BUCKET = 32
 #: The exact way: rounds in which large buckets are led and divided before what is left is compared by sketches, in blocks of so many texts.
 DIVISIONS, BLOCK = 2, 1024
-#: Rounds of leaders of the registered query and the pipeline.
-LEADER_ROUNDS = 3
+#: Rounds of leaders of the registered query and the pipeline, before all pairs of different components are looked at.
+LEADER_ROUNDS = 2
+#: Texts of about so many bytes are compared at a time, with ``BLOCK`` members at most.
+BLOCK_BYTES = 8 << 20
 #: Shingles are counted in 2**20 hashed places, so the broadcast counts take 4 MB however large the corpus is.
 DF_BITS = 20
 #: Weight of a shingle: tf * (1 + IDF_SHARE * ln(N / df) / ln N). A full idf would let the few changed shingles of a
@@ -154,7 +157,7 @@ def _signatures(numbered: DataFrame, idf) -> DataFrame:
             digests += [None if t is None else hashlib.blake2b(t.encode(), digest_size=16).digest() for t in part.to_pylist()]
         return [pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
 
-    return stored(append_columns(numbered, ["text"], "digest binary, bands array<long>, sketch binary", sign).select("row", "doc_id", "digest", "bands", "sketch"))
+    return stored(append_columns(numbered, ["text"], "digest binary, bands array<long>, sketch binary", sign).select("row", "doc_id", "n_bytes", "digest", "bands", "sketch"))
 
 
 def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -345,26 +348,159 @@ def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, idf, simil
     return labels
 
 
-def _links_by_leaders(members: DataFrame, sketches: DataFrame, texts: DataFrame, idf, similarity: float, rounds: int) -> DataFrame | None:
-    """The same by leaders alone, with as many comparisons as there are members in each round.
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("component", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _merged(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Components of the edges ``(a, b)`` and of those known before."""
+    if labels is not None:
+        edges = edges.unionByName(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return stored(components(edges))
+
+
+def _cells(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of buckets that hold several components, dealt to cells of bounded size in which every pair of two components meets once.
+
+    ``strange`` members are outside the most frequent component of their bucket; a pair of two components has one at least. A bucket of up to
+    ``BLOCK`` members and ``BLOCK_BYTES`` of texts is one cell. The members of a larger one are cut into blocks as hosts, the strange ones as
+    probes, too, and a cell has the hosts of one block and the probes of another.
+    """
+    active = _labelled(members, labels)
+    parts = active.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    most = F.max(F.struct("n", "component", "n_bytes"))
+    several = parts.groupBy("bucket").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("parts")).where("parts > 1")
+
+    def blocks(n, n_bytes):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(n_bytes / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    counted = several.select(
+        "bucket",
+        F.col("most.component").alias("home"),
+        blocks(F.col("n"), F.col("n_bytes")).alias("hosts"),
+        blocks(F.col("n") - F.col("most.n"), F.col("n_bytes") - F.col("most.n_bytes")).alias("probes"),
+    )
+    placed = active.join(counted, "bucket").withColumn("strange", F.col("component") != F.col("home"))
+    whole = (F.col("hosts") == 1) & (F.col("probes") == 1)
+
+    def own(n: str, salt: int):
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def side(rows: DataFrame, i, j, host, probe) -> DataFrame:
+        cut_ = rows.withColumn("i", i).withColumn("j", j)
+        return cut_.select(F.xxhash64("bucket", "i", "j").alias("cell"), "node", "component", "strange", "band", host.alias("host"), probe.alias("probe"))
+
+    one, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    large = placed.where(~whole)
+    return (
+        side(placed.where(whole), one, one, yes, F.col("strange"))
+        .unionByName(side(large, own("hosts", 1), every("probes"), yes, no))
+        .unionByName(side(large.where("strange"), every("hosts"), own("probes", 2), no, yes))
+    )
+
+
+def _links_of_cells(rows: pa.Table, idf: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links within whole cells that stand one after the other: a forest of the alike pairs of two components.
+
+    A pair is looked at in the first band that its texts share, if its samples agree often enough and no link found before has
+    joined its texts; then the weighted Jaccard similarity of their shingles decides.
+    """
+    cell, node, component, strange, host, probe, band = [rows.column(c).to_numpy() for c in ("cell", "node", "component", "strange", "host", "probe", "band")]
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+    texts = pa.concat_arrays(rows.column("text").cast(pa.large_string()).chunks)
+    found = []
+    for a, b in slices(texts, _SLICE):
+        text, of, weight = weighted(Words(texts.slice(a, b - a)), idf)
+        found.append((text + a, of, weight))
+    text, of, weight = [np.concatenate(x) for x in zip(*found, strict=True)]
+    begin = np.searchsorted(text, np.arange(len(node) + 1))
+    total = np.bincount(text, weights=weight, minlength=len(node))
+    distinct, place = np.unique(of, return_inverse=True)
+    mine = np.zeros(len(distinct), np.float32)
+    edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+    high, low = [], []
+    for first, end in zip(edges[:-1], edges[1:], strict=True):
+        label, hosts = component[first:end].copy(), first + np.flatnonzero(host[first:end])
+        for p in (first + np.flatnonzero(probe[first:end])).tolist():
+            c = hosts[label[hosts - first] != label[p - first]]
+            c = c[(node[c] < node[p]) | ~strange[c]]  # of two probes the greater one looks at the pair
+            c = c[(sketch[c] == sketch[p]).sum(1) >= LEAST_AGREED]
+            c = c[~(bands[c, : band[p]] == bands[p, : band[p]]).any(1)]
+            if not len(c):
+                continue
+            sizes = begin[c + 1] - begin[c]
+            starts = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) + np.repeat(begin[c] - starts, sizes)
+            own = slice(begin[p], begin[p + 1])
+            mine[place[own]] = weight[own]
+            shared = np.add.reduceat(np.minimum(mine[place[at]], weight[at]).astype(np.float64), starts)
+            mine[place[own]] = 0
+            for j in c[shared / (total[c] + total[p] - shared) >= similarity].tolist():
+                if label[j - first] != label[p - first]:
+                    high.append(max(node[p], node[j]))
+                    low.append(min(node[p], node[j]))
+                    label[label == label[j - first]] = label[p - first]
+    return high, low
+
+
+def _links_in_cells(cells: DataFrame, signatures: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """``(a, b)``, links that connect what the alike pairs of the cells connect. A text goes to its cells once, so no pairs are shuffled."""
+    signs = signatures.join(texts.withColumnRenamed("row", "node"), "node")
+    rows = cells.join(signs, "node").select("cell", "node", "component", "strange", "host", "probe", "band", "bands", "sketch", "text")
+
+    def compare(batches):  # rows of a cell come one after the other
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def done():
+            found = _links_of_cells(pa.Table.from_batches(held), idf.value, similarity)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            lengths = np.append(0, np.cumsum(pc.binary_length(batch.column(9)).to_numpy(zero_copy_only=False).astype(np.int64)))
+            start = 0
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                new = a > start or not held or held[-1].column(0)[-1].as_py() != int(cell[a])
+                if new and size >= _SLICE:
+                    if a > start:
+                        held.append(batch.slice(start, a - start))
+                    yield done()
+                    start, size = a, 0
+                size += int(lengths[b] - lengths[a])
+            if start < len(cell):
+                held.append(batch.slice(start))
+        if held:
+            yield done()
+
+    return map_arrow(rows.repartition("cell").sortWithinPartitions("cell"), compare, "a long, b long").distinct()
 
-    First all members of a bucket are compared with its leader. Then those outside the leader's component are compared with
-    a member of that component, another one in each bucket and round, and with a leader of their own; buckets that have few
-    members outside are compared in full. No pair is compared twice. A link is missed if a large bucket keeps many members outside and
-    none of these representatives, in any of the buckets that both texts share, is alike to both.
+
+def _links_by_leaders(members: DataFrame, signatures: DataFrame, texts: DataFrame, idf, similarity: float, rounds: int) -> DataFrame | None:
+    """The same by leaders, and the rest in full.
+
+    In buckets of more than ``BLOCK`` members rounds of leaders come first, with as many comparisons as there are members in each: all members are
+    compared with the leader, then those outside the leader's component with a member of that component, another one in each
+    bucket and round, and with a leader of their own. They only save work: then every pair of two components that a bucket still holds is
+    looked at (:func:`_links_in_cells`), so none is lost.
     """
     labels, tried = None, None
-    for number in range(rounds):
-        active = members.withColumn("short", F.lit(True))
-        if labels is None:
-            active = active.withColumn("component", F.col("node"))
-        else:
-            active = active.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = _open(active)
-        if placed.isEmpty():
+    big = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket"))
+    crowded = stored(members.join(broadcast_if_small(big), "bucket", "left_semi").select("bucket", "node")) if not big.isEmpty() else None
+    for number in range(rounds if crowded is not None else 0):
+        large = _open(_labelled(crowded.withColumn("short", F.lit(True)), labels))
+        if large.isEmpty():
             break
-        small = F.col("n_strange") <= (SMALL_BUCKET if number else 1)
-        large = placed.where(~small)
         if number == 0:
             led = large.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
         else:
@@ -372,18 +508,14 @@ def _links_by_leaders(members: DataFrame, sketches: DataFrame, texts: DataFrame,
             picks = [F.max_by("node", F.when(side, order)).alias(name) for side, name in ((F.col("home"), "host"), (~F.col("home"), "guest"))]
             led = large.join(large.groupBy("bucket").agg(*picks), "bucket").where("not home")
             led = led.select(F.explode(F.array("host", "guest")).alias("a"), F.col("node").alias("b"))
-        led = led.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = _met(placed.where(small)).unionByName(led).distinct()
+        pairs = led.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = stored(_compared(_promising(pairs, sketches).withColumn("wide", F.lit(False)), texts, idf, similarity))
-        if found.isEmpty():
-            continue
-        edges = found.select("a", "b")
-        if labels is not None:
-            edges = edges.unionByName(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = stored(components(edges))
-    return labels
+        found = stored(_compared(_promising(pairs, signatures).withColumn("wide", F.lit(False)), texts, idf, similarity))
+        if not found.isEmpty():
+            labels = _merged(found.select("a", "b"), labels)
+    links = stored(_links_in_cells(_cells(members, labels), signatures, texts, idf, similarity))
+    return labels if links.isEmpty() else _merged(links, labels)
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, rounds: int | None = None) -> DataFrame:
@@ -395,9 +527,9 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     the first row). Words are runs of digits, letters and characters beyond ASCII, in lower case. Texts without words are linked
     to equal texts only; null texts to none. Repeated rows are copies of each other. An empty table gives no rows.
 
-    ``rounds=None`` follows every candidate pair of every bucket, whose number grows with the square of what a large group of copies leaves
-    near the threshold. With a number, large buckets are worked off by so many rounds of leaders (:func:`_links_by_leaders`), which
-    compare as many pairs as there are members and may miss links there.
+    Every candidate pair of every bucket is followed unless links already join its texts. ``rounds=None`` divides large buckets by differences from
+    a leader (:func:`_links`). With a number, so many rounds of leaders come first in buckets of more than ``BLOCK`` members, then texts are
+    dealt to cells in which the remaining pairs meet (:func:`_links_by_leaders`).
     """
     numbered = stored(docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()))
     return _classes(numbered, similarity, rounds)
@@ -415,17 +547,24 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 def _classes(numbered: DataFrame, similarity: float, rounds: int | None) -> DataFrame:
     spark = numbered.sparkSession
     idf = spark.sparkContext.broadcast(weights_by_place(document_frequencies(numbered), numbered.count()))
-    signed = _signatures(numbered, idf)
+    signed = _signatures(numbered.withColumn("n_bytes", F.octet_length("text").cast("long")), idf)
 
     same = F.coalesce(F.hex("digest"), F.concat(F.lit("row "), F.col("row")))  # a null text is equal to none
     exact = stored(signed.select("row", same.alias("same")).groupBy("same").agg(F.min("row").alias("node")))
     nodes = signed.join(exact.select(F.col("node").alias("row")), "row", "left_semi").where("bands is not null")
-    banded = nodes.select(F.col("row").alias("node"), F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    banded = nodes.select(F.col("row").alias("node"), "n_bytes", F.posexplode("bands").alias("band", "hash"))
+    banded = banded.select("node", "n_bytes", "band", F.xxhash64("band", "hash").alias("bucket"))
+    held = [F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")]
+    shared = banded.groupBy("bucket").agg(*held, F.min("band").alias("band")).where("low <> high")
+    # Of buckets with the same members the one of the first band stays: it holds the same pairs.
+    shared = shared.groupBy("low", "high", "n", "mark").agg(F.min_by("bucket", F.struct("band", "bucket")).alias("bucket"))
     members = stored(banded.join(shared.select("bucket"), "bucket", "left_semi"))
-    sketches = nodes.select(F.col("row").alias("node"), "sketch")
-    texts = stored(numbered.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("row", "text"))
-    labels = _links(members, sketches, texts, idf, similarity, DIVISIONS) if rounds is None else _links_by_leaders(members, sketches, texts, idf, similarity, rounds)
+    wanted = broadcast_if_small(stored(members.select(F.col("node").alias("row")).distinct()))
+    texts = stored(numbered.join(wanted, "row", "left_semi").select("row", "text"))
+    if rounds is None:
+        labels = _links(members.select("bucket", "node"), nodes.select(F.col("row").alias("node"), "sketch"), texts, idf, similarity, DIVISIONS)
+    else:
+        labels = _links_by_leaders(members, nodes.select(F.col("row").alias("node"), "bands", "sketch"), texts, idf, similarity, rounds)
 
     owned = signed.select("row", "doc_id", same.alias("same")).join(exact, "same")
     if labels is None:

@@ -224,3 +224,38 @@ def test_recall_of_leaders_on_a_hot_group(spark):
     assert merged > 100
     assert len(texts) - len(found) >= 0.97 * merged
     assert all(any(ours <= theirs for theirs in want) for ours in found)  # no link of its own
+
+
+def test_links_that_leaders_miss_are_found(spark, monkeypatch):
+    """Many families in one bucket, none alike to its leader or to the picks of a round: the rest is compared in full, in cells of any size."""
+    texts = families() + families()[:3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels, close = brute(texts)
+    assert not close
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
+    for block, n_bytes, rounds in ((8, 8 << 20, 1), (20, 3000, 0)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "BLOCK_BYTES", n_bytes, raising=False)
+        got = neardup.near_duplicate_classes(docs, rounds=rounds).collect()
+        assert partition([r.class_id for r in sorted(got, key=lambda r: r.doc_id)]) == partition(labels)
+
+
+def test_pairs_of_cells_are_those_of_their_rows():
+    """A pair counts in the first band that its texts share; a strange host leaves it to the greater probe."""
+    idf = np.ones(4, np.float32)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(["less", *words])]
+
+    def links(cell, strange, band, host, probe):
+        rows = {
+            "cell": pa.array(cell), "node": pa.array([1, 2, 3]), "component": pa.array([1, 2, 3]), "strange": pa.array(strange),
+            "host": pa.array(host), "probe": pa.array(probe), "band": pa.array([band] * 3), "bands": pa.array([[7, 7]] * 3),
+            "sketch": pa.array([bytes(56)] * 3), "text": pa.array(texts),
+        }
+        return list(zip(*neardup._links_of_cells(pa.table(rows), idf, 0.8), strict=True))
+
+    yes = [True] * 3
+    assert links([1, 1, 1], [False, True, True], 0, yes, [False, True, True]) in ([(2, 1), (3, 1)], [(2, 1), (3, 2)])
+    assert links([1, 1, 1], [False, True, True], 1, yes, [False, True, True]) == []  # they shared the band before
+    assert links([1, 1, 2], [False, True, True], 0, yes, [False, True, True]) == [(2, 1)]
+    assert links([1, 1, 1], yes, 0, [False, False, True], [True, True, False]) == []
