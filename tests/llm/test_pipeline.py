@@ -1,7 +1,12 @@
+import random
+
+import numpy as np
+
 import corpus_pipeline
-from tablewright.llm import queries
+from tablewright.llm import neardup, queries
 from tablewright.llm.decontamination import flag_contamination
 from tests.conftest import SF_DIR
+from tests.llm.test_neardup import brute, partition
 
 
 def test_stages_in_turn(spark):
@@ -31,3 +36,27 @@ def test_stages_in_turn(spark):
 def test_run(spark):
     pieces = corpus_pipeline.run(spark, SF_DIR).collect()
     assert pieces and {r.doc_id for r in pieces} < {r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+
+
+def test_one_of_each_class_stays_where_leaders_miss_links(spark, monkeypatch):
+    """Pairs of copies in one bucket with many others: every pair is found, though only a few have a leader in it."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+
+    def changed(text, places):
+        copy = list(text)
+        for k in rng.sample(range(len(copy) // 10), places):
+            copy[10 * k + rng.randrange(5)] = rng.choice(words)
+        return copy
+
+    base = [rng.choice(words) for _ in range(150)]
+    firsts = [changed(base, 5) for _ in range(60)]
+    texts = [" ".join(t) for first in firsts for t in (first, changed(first, 1))]
+    labels, close = brute(texts)
+    assert not close
+    bands = neardup.BANDS
+    monkeypatch.setattr(neardup, "band_hashes", lambda sample: np.ones((len(sample), bands), np.int64))  # all in one bucket
+    monkeypatch.setattr(neardup, "BLOCK", 60)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF_DIR).collect()]
+    assert sorted(kept) == sorted(min(group) for group in partition(labels))
