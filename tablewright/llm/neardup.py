@@ -36,6 +36,10 @@ DF_BITS = 20
 #: copy outweigh the many that a large group of copies shares, since those have a high df just by being copied.
 IDF_SHARE = 0.25
 
+#: Hashed places of a text's shingles, the weights in which bound what two texts can share.
+PLACE_BITS = 8
+PLACES = 1 << PLACE_BITS
+
 _SEEDS = np.random.default_rng(30_011).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
 _LN_2_32 = np.float32(32 * np.log(2))
 _SLICE = 1 << 18
@@ -407,12 +411,12 @@ def _cells(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _links_of_cells(rows: pa.Table, idf: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
     """Links within whole cells that stand one after the other: a forest of the alike pairs of two components.
 
-    A pair is looked at in the first band that its texts share, if its samples agree often enough and no link found before has
-    joined its texts; then the weighted Jaccard similarity of their shingles decides.
+    A pair is looked at in the first band that its texts share, if no link found before has joined its texts; then the weighted Jaccard
+    similarity of their shingles decides. It is not computed where it cannot be reached: texts share no more than the lesser of their weights in
+    each of ``PLACES`` hashed places of the shingles, summed up.
     """
     cell, node, component, strange, host, probe, band = [rows.column(c).to_numpy() for c in ("cell", "node", "component", "strange", "host", "probe", "band")]
     bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
     texts = pa.concat_arrays(rows.column("text").cast(pa.large_string()).chunks)
     found = []
     for a, b in slices(texts, _SLICE):
@@ -425,13 +429,16 @@ def _links_of_cells(rows: pa.Table, idf: np.ndarray, similarity: float) -> tuple
     mine = np.zeros(len(distinct), np.float32)
     edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
     high, low = [], []
+    by_place = np.bincount(text * PLACES + (of >> np.uint64(64 - PLACE_BITS)).astype(np.int64), weights=weight, minlength=len(node) * PLACES)
+    by_place = by_place.astype(np.float32).reshape(-1, PLACES)
+    least = similarity / (1 + similarity) * (1 - 1e-5)  # of the sum of both weights, less the rounding of 32 bits
     for first, end in zip(edges[:-1], edges[1:], strict=True):
         label, hosts = component[first:end].copy(), first + np.flatnonzero(host[first:end])
         for p in (first + np.flatnonzero(probe[first:end])).tolist():
             c = hosts[label[hosts - first] != label[p - first]]
             c = c[(node[c] < node[p]) | ~strange[c]]  # of two probes the greater one looks at the pair
-            c = c[(sketch[c] == sketch[p]).sum(1) >= LEAST_AGREED]
             c = c[~(bands[c, : band[p]] == bands[p, : band[p]]).any(1)]
+            c = c[np.minimum(by_place[c], by_place[p]).sum(1) >= least * (total[c] + total[p])]
             if not len(c):
                 continue
             sizes = begin[c + 1] - begin[c]
@@ -451,8 +458,8 @@ def _links_of_cells(rows: pa.Table, idf: np.ndarray, similarity: float) -> tuple
 
 def _links_in_cells(cells: DataFrame, signatures: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """``(a, b)``, links that connect what the alike pairs of the cells connect. A text goes to its cells once, so no pairs are shuffled."""
-    signs = signatures.join(texts.withColumnRenamed("row", "node"), "node")
-    rows = cells.join(signs, "node").select("cell", "node", "component", "strange", "host", "probe", "band", "bands", "sketch", "text")
+    signs = signatures.select("node", "bands").join(texts.withColumnRenamed("row", "node"), "node")
+    rows = cells.join(signs, "node").select("cell", "node", "component", "strange", "host", "probe", "band", "bands", "text")
 
     def compare(batches):  # rows of a cell come one after the other
         held: list[pa.RecordBatch] = []
@@ -466,7 +473,7 @@ def _links_in_cells(cells: DataFrame, signatures: DataFrame, texts: DataFrame, i
         for batch in batches:
             cell = batch.column(0).to_numpy()
             edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
-            lengths = np.append(0, np.cumsum(pc.binary_length(batch.column(9)).to_numpy(zero_copy_only=False).astype(np.int64)))
+            lengths = np.append(0, np.cumsum(pc.binary_length(batch.column(8)).to_numpy(zero_copy_only=False).astype(np.int64)))
             start = 0
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if a == b:
@@ -529,7 +536,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     Every candidate pair of every bucket is followed unless links already join its texts. ``rounds=None`` divides large buckets by differences from
     a leader (:func:`_links`). With a number, so many rounds of leaders come first in buckets of more than ``BLOCK`` members, then texts are
-    dealt to cells in which the remaining pairs meet (:func:`_links_by_leaders`).
+    dealt to cells in which the remaining pairs meet and are verified by their shingles, whatever their samples say (:func:`_links_by_leaders`).
     """
     numbered = stored(docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()))
     return _classes(numbered, similarity, rounds)

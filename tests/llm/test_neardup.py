@@ -259,3 +259,33 @@ def test_pairs_of_cells_are_those_of_their_rows():
     assert links([1, 1, 1], [False, True, True], 1, yes, [False, True, True]) == []  # they shared the band before
     assert links([1, 1, 2], [False, True, True], 0, yes, [False, True, True]) == [(2, 1)]
     assert links([1, 1, 1], yes, 0, [False, False, True], [True, True, False]) == []
+
+
+@pytest.mark.parametrize("size", [12, 150, 3000])
+def test_pairs_of_cells_are_verified_whatever_their_samples_say(size):
+    """Pairs of one bucket whose samples agree nowhere: the similarity of their shingles alone decides."""
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(900)]
+    idf = np.random.default_rng(size).uniform(1, 1.25, 1 << 10).astype(np.float32)
+    base = [rng.choice(words) for _ in range(size)]
+    texts = [" ".join(base)]
+    for share in np.linspace(0.001, 0.06, 24):
+        copy = [rng.choice(words) if rng.random() < share else w for w in base]
+        texts.append(" ".join([*copy, *["more"] * rng.randrange(1 + size // 10)]))
+    sets = []
+    for t in texts:
+        _, of, weight = neardup.weighted(neardup.Words(pa.array([t], pa.large_string())), idf)
+        sets.append((of, weight))
+    found = 0
+    for i in range(1, len(texts)):
+        rows = {
+            "cell": pa.array([5, 5]), "node": pa.array([0, i]), "component": pa.array([0, i]), "strange": pa.array([False, True]),
+            "host": pa.array([True, True]), "probe": pa.array([False, True]), "band": pa.array([0, 0]), "bands": pa.array([[7, 7]] * 2),
+            "sketch": pa.array([bytes(56), bytes([255]) * 56]), "text": pa.array([texts[0], texts[i]]),
+        }
+        got = list(zip(*neardup._links_of_cells(pa.table(rows), idf, 0.8), strict=True))
+        alike = neardup.weighted_jaccard(sets[0], sets[i])
+        if abs(alike - 0.8) > 1e-6:
+            assert got == ([(i, 0)] if alike >= 0.8 else [])
+            found += len(got)
+    assert found > 0
