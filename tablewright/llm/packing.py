@@ -215,13 +215,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
     coded = append_columns(source, ["text"], "key long, doc_tokens long, ids binary, width int", encode).drop("text")
     coded = stored(coded.withColumn("number", F.monotonically_increasing_id()))
 
-    # Sorted once by (key, number), which is unique; each task counts the tokens before each of its documents.
-    ordered = coded.repartitionByRange("key", "number").sortWithinPartitions("key", "number").withColumn("part", F.spark_partition_id())
+    # Sorted once by (key, number), which is unique; each task counts the tokens before each of its documents. Only numbers are sorted: the
+    # ids stay where they are written, and go to their places in the stream in one shuffle.
+    ordered = coded.select("key", "number", "doc_tokens").repartitionByRange("key", "number").sortWithinPartitions("key", "number").withColumn("part", F.spark_partition_id())
     placed = stored(_running(ordered))
     sizes = placed.groupBy("part").agg(F.sum("doc_tokens").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
-    streams = placed.join(F.broadcast(offsets), "part").withColumn("stream", F.col("before") + F.col("earlier"))
+    places = placed.join(F.broadcast(offsets), "part").select("number", (F.col("before") + F.col("earlier")).alias("stream"))
+    streams = coded.select("number", "doc_id", "doc_tokens", "ids", "width").join(places, "number")
     return _cut(streams, length, end_id)
 
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from tablewright.llm import packing
 from tablewright.llm.packing import ChunkTokenizer, hilbert_key, pack_documents
 from tablewright.llm.queries import PACKING_VOCABULARY, QUERIES
 from tests.conftest import SF_DIR
@@ -90,3 +91,19 @@ def test_chunks_have_the_ids_of_whole_texts():
         assert got == [tokenizer._whole(t) for t in texts] + [b""]
     assert tokenizer(pa.array([], pa.string())).to_pylist() == []
     assert tokenizer(pa.array([None], pa.string())).to_pylist() == [b""]
+
+
+def test_ids_are_written_once(spark, monkeypatch):
+    """Only the keys and sizes of documents are sorted; their ids are written once and take their places from there."""
+    written = []
+
+    def kept(df):
+        written.append(df.columns)
+        return keep(df)
+
+    keep = packing.stored
+    monkeypatch.setattr(packing, "stored", kept)
+    docs = [(i % 50, f"word{i} " * (i % 70)) for i in range(300)]
+    pieces = pack_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), PACKING_VOCABULARY, length=64).collect()
+    check(pieces, docs, 64)
+    assert len(written) == 2 and sum("ids" in columns for columns in written) == 1
