@@ -73,6 +73,7 @@ def _summed_up(batches: Iterator) -> Iterator:
 
     Lines of a block come one after the other in one task, so a task keeps a few numbers.
     """
+    import numpy as np
     import pyarrow as pa
 
     names = ["_file", "_block", "to_0", "to_1", "open_0", "open_1", "inside", "header"]
@@ -84,20 +85,35 @@ def _summed_up(batches: Iterator) -> Iterator:
 
     now, s = None, None
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for file, block, place, f0, f1, filled in zip(*columns, strict=True):
-            if (file, block) != now:
+        if not batch.num_rows:
+            continue
+        file, block, place, from_0, from_1, filled = batch.columns
+        blocks, f0, f1 = block.to_numpy(), from_0.to_numpy(), from_1.to_numpy()
+        filled = filled.to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(file.dictionary_encode().indices.to_numpy()) != 0)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(blocks)], strict=True):
+            here = (file[a].as_py(), int(blocks[a]))
+            if here != now:
                 if now is not None:
                     yield row(now, s)
-                now, s = (file, block), [0, 1, False, False, True, None]
-            s[0], s[1] = (f1 if s[0] else f0), (f1 if s[1] else f0)
-            s[2], s[3], s[4] = s[2] or s[0] == 1, s[3] or s[1] == 1, s[4] and s[1] == 1
-            if filled and s[5] is None:
-                s[5] = place
+                now, s = here, [0, 1, False, False, True, None]
+            after = [_states(f0[a:b], f1[a:b], s[start]) for start in (0, 1)]
+            s[:5] = [*(int(x[-1]) for x in after), *(s[2 + i] or bool(x.any()) for i, x in enumerate(after)), s[4] and bool(after[1].all())]
+            if s[5] is None and filled[a:b].any():
+                s[5] = place[a + int(filled[a:b].argmax())].as_py()
     if now is not None:
         yield row(now, s)
 
 
+def _states(from_0, from_1, start: int):
+    """Whether a cell is open after each line: as the last line says that leads to one state, swapped by each swapping line since."""
+    import numpy as np
+
+    swaps = np.cumsum((from_0 == 1) & (from_1 == 0))
+    last = np.maximum.accumulate(np.where(from_0 == from_1, np.arange(len(from_0)), -1))
+    return np.where(last >= 0, from_0[last] + swaps - swaps[last], start + swaps) % 2
+
+
 def _blocks(lines: DataFrame) -> DataFrame:
     """One row per block: ``start`` (1 if a cell is open where it begins), ``finish``, ``opens`` and ``owner``, the block in
     which the record open at its start begins."""
@@ -203,7 +219,8 @@ def records(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame,
         pieces = asked.mapInArrow(_joined, _PIECE)
         found = pieces.where(F.col("part") == _WHOLE).select(FILE, BLOCK, PLACE, RECORD, F.lit(False).alias(LATE))
         if blocks.where("finish = 1").limit(1).count():
-            found = found.unionByName(_crossing(pieces.where(F.col("part") != _WHOLE), blocks))
+            crossing = stored(pieces.where(F.col("part") != _WHOLE))  # two pieces of a block at most; else each use would read all lines again
+            found = found.unionByName(_crossing(crossing, blocks))
     found = found.withColumn(RECORD, F.regexp_replace(RECORD, r"\r$", "")).where(F.trim(RECORD) != "")
     heads = headers.where(F.col(PLACE).isNotNull()).select(FILE, BLOCK, PLACE)
     heads = broadcast_if_small(heads)

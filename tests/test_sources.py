@@ -5,6 +5,7 @@ import io
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -468,3 +469,42 @@ def test_ingest_of_bad_files_only(spark, tmp_path):
     write(source / "b.json", '{"v": 1}\n')
     ingest_folder(spark, str(source), "v int", target, str(tmp_path / "mark")).awaitTermination()
     assert [(r.row_index, r.v) for r in ingested(spark, target).collect()] == [(0, 1)]
+
+
+def test_blocks_are_summed_up_as_line_by_line():
+    """States of lines in blocks of any size, cut anywhere into batches, against one line at a time."""
+    rng = random.Random(31)
+    names = ["_file", "_block", "_line", "from_0", "from_1", "filled"]
+    rows = [(f"f{i // 400}", i // 37, i, rng.choice([0, 0, 1]), rng.choice([0, 1, 1]), rng.random() < 0.3) for i in range(1200)]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int8(), pa.int8(), pa.bool_()]
+    batches, at = [], 0
+    while at < len(rows):
+        part = rows[at : at + rng.randrange(90)]
+        at += len(part)
+        batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names))
+    want = {}
+    for file, block, line, f0, f1, filled in rows:
+        s = want.setdefault((file, block), [0, 1, False, False, True, None])
+        s[0], s[1] = (f1 if s[0] else f0), (f1 if s[1] else f0)
+        s[2], s[3], s[4] = s[2] or s[0] == 1, s[3] or s[1] == 1, s[4] and s[1] == 1
+        if filled and s[5] is None:
+            s[5] = line
+    got = [tuple(c[0].as_py() for c in b.columns) for b in delimited._summed_up(iter(batches))]
+    assert got == [(*key, *s) for key, s in want.items()]
+
+
+def test_lines_that_cross_blocks_are_joined_once(spark, tmp_path, block_bytes, monkeypatch):
+    written = []
+
+    def kept(df):
+        written.append(df.columns)
+        return keep(df)
+
+    keep = delimited.stored
+    monkeypatch.setattr(delimited, "stored", kept)
+    cells = [f"a{i}\n{'x' * (i % 23)}" for i in range(200)]
+    (tmp_path / "t.csv").write_text("k,v\n" + "".join(f'{i},"{c}"\n' for i, c in enumerate(cells)))
+    block_bytes(64)
+    got = readers.read_csv(spark, str(tmp_path / "t.csv")).collect()
+    assert sorted((r.k, r.v) for r in got) == list(enumerate(cells))
+    assert sum("part" in columns for columns in written) == 1
