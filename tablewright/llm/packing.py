@@ -31,8 +31,8 @@ LENGTH = 2048
 DIMS = 4
 BITS = 12
 END_ID = 1
-#: Chunks that a worker remembers, about 200 bytes each; beyond it the memory starts anew.
-CACHE_CHUNKS = 1_000_000
+#: Chunks of each of the two generations that a worker remembers, about 120 bytes each; the slice that is being read adds its own.
+CACHE_CHUNKS = 150_000
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -105,12 +105,18 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
 
 
+#: The same for ASCII letters, which Arrow takes apart for a whole slice at once.
+_SIGNS = ".,;:!?%&*#$"
+_ASCII_WORD_AND_SIGNS = rf"\A[A-Za-z]+[{_SIGNS}]*\z"
+
+
 class ChunkTokenizer:
     """Ids of whole texts by a lower-casing byte-level tokenizer that parts at white space, and letters from signs.
 
     The rules that its file states say whether it is of that kind. Then a text has the ids of its chunks between blanks and line ends, one
     after the other, and a word of Latin letters is one piece to the model, which is asked for it directly. Chunks are
-    remembered; the memory is bounded and only saves time. Any other tokenizer gets whole texts.
+    remembered; the memory is bounded and only saves time: once it is full it becomes the older generation, which
+    hands on the chunks that are met again, so frequent ones stay and rare ones go. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -120,6 +126,7 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         rules = json.loads(self.tokenizer.to_str())
         self.parts = (
             (rules["normalizer"] or {}).get("normalizers") == _NORMALISERS
@@ -131,6 +138,16 @@ class ChunkTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _recalled(self, chunk: str) -> bool:
+        """Whether the ids of a chunk are known; those of the older generation come into the present one."""
+        if chunk in self.known:
+            return True
+        ids = self.older.get(chunk)
+        if ids is None:
+            return False
+        self.known[chunk] = ids
+        return True
+
     def _learn(self, chunks: set[str]) -> None:
         """Remembers the ids of chunks: a word and the signs behind it have ids of their own, other chunks stay whole."""
         known, tokenize, pack = self.known, self.tokenizer.model.tokenize, array("H" if self.dtype == "<u2" else "I")
@@ -142,10 +159,10 @@ class ChunkTokenizer:
                 continue
             word, signs = found.groups()
             word = word.lower()
-            if word not in known:
+            if not self._recalled(word):
                 letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
                 known[word] = _packed(pack, [t.id for t in tokenize(letters)])
-            if signs and signs not in known:
+            if signs and not self._recalled(signs):
                 other.add(signs)
             if word != chunk:
                 composed.append((chunk, word, signs))
@@ -155,6 +172,20 @@ class ChunkTokenizer:
         for chunk, word, signs in composed:
             known[chunk] = known[word] + known[signs] if signs else known[word]
 
+    def _remembered(self, chunks: pa.Array) -> pa.Array:
+        """Ids of each chunk, equal ones looked up once."""
+        places = pc.dictionary_encode(chunks)
+        different = places.dictionary.to_pylist()
+        self._learn({c for c in different if not self._recalled(c)})
+        return pa.array([self.known[c] for c in different], pa.large_binary()).take(places.indices)
+
+    def _ids(self, chunks: pa.Array) -> pa.Array:
+        """Ids of each chunk. Words of ASCII letters are remembered in lower case and without the signs behind them."""
+        apart = pc.match_substring_regex(chunks, _ASCII_WORD_AND_SIGNS)
+        words = pc.if_else(apart, pc.ascii_lower(pc.ascii_rtrim(chunks, _SIGNS)), chunks)
+        signs = pc.if_else(apart, pc.replace_substring_regex(chunks, r"\A[A-Za-z]+", ""), "")
+        return pc.binary_join_element_wise(self._remembered(words), self._remembered(signs), pa.scalar(b"", pa.large_binary()))
+
     def __call__(self, texts: pa.Array) -> pa.Array:
         """Ids of each text (a null text has none) as little-endian numbers of ``dtype``.
 
@@ -164,12 +195,10 @@ class ChunkTokenizer:
         if not self.parts:
             return pa.array([self._whole(t) for t in texts.to_pylist()], pa.large_binary())
         if len(self.known) > CACHE_CHUNKS:
-            self.known = {}
+            self.older, self.known = self.known, {}
         rows = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         places = pc.dictionary_encode(rows.flatten())
-        chunks = places.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn({c for c in chunks if c not in self.known})
-        taken = pa.array([self.known[c] for c in chunks], pa.large_binary()).take(places.indices)
+        taken = self._ids(places.dictionary).take(places.indices)
         # The bytes now stand in the order of the texts: only the bounds between texts are wanted, not those between chunks.
         per_row = np.append(0, np.cumsum(pc.list_value_length(rows).to_numpy()))
         bounds = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1][per_row] if len(taken) else np.zeros(len(texts) + 1, np.int64)

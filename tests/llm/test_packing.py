@@ -107,3 +107,19 @@ def test_ids_are_written_once(spark, monkeypatch):
     pieces = pack_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), PACKING_VOCABULARY, length=64).collect()
     check(pieces, docs, 64)
     assert len(written) == 2 and sum("ids" in columns for columns in written) == 1
+
+
+def test_memory_of_chunks_is_bounded(monkeypatch):
+    """Over many more chunks than it may remember, a tokenizer keeps frequent ones, and each word once however it is written."""
+    words = [f"{a}{b}{c}" for a in "bcdfghjk" for b in "aeiou" for c in "lmnprstvwxyz"]
+    one = ChunkTokenizer(PACKING_VOCABULARY)
+    for text in (" ".join(words), " ".join(f"{w.capitalize()}," for w in words), " ".join(f"{w.upper()}." for w in words)):
+        assert one(pa.array([text])).to_pylist() == [one._whole(text)]
+    assert len(one.known) < len(words) + 10
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 100)
+    two = ChunkTokenizer(PACKING_VOCABULARY)
+    for k in range(0, len(words), 20):
+        text = " ".join(["frequent", *words[k : k + 20]])
+        assert two(pa.array([text])).to_pylist() == [two._whole(text)]
+        assert "frequent" in two.known or "frequent" in two.older
+        assert len(two.known) + len(two.older) <= 2 * (100 + 30)
