@@ -96,18 +96,18 @@ _SPLIT = {
 }
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
-# A word of Latin letters, of which all Unicode versions say the same, and signs behind it. The capital I with a
-# dot (U+0130) is left out: in lower case it is a letter and a mark, which is no letter.
-_WORD_AND_SIGNS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?%&*#$]*)")
+# Latin letters, of which all Unicode versions say the same. The capital I with a dot (U+0130) is left out: in lower
+# case it is a letter and a mark, which is no letter.
+_LATIN = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_WORD = re.compile(f"[{_LATIN}]+")
+_LETTERS = "".join(_WORD.findall("".join(map(chr, range(0x250)))))
+_SIGNS = ".,;:!?%&*#$"
 
-#: The characters that a byte-level model has for the bytes: printable ones stand for themselves, others follow from 256 on.
+#: The characters that a byte-level model has for the bytes: printable ones stand for themselves, others follow from 256 on. The blank
+#: stays, between words that are told apart by it.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
-
-
-#: The same for ASCII letters, which Arrow takes apart for a whole slice at once.
-_SIGNS = ".,;:!?%&*#$"
-_ASCII_WORD_AND_SIGNS = rf"\A[A-Za-z]+[{_SIGNS}]*\z"
+_OTHER_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+_BYTE_CHARACTERS = "".join(chr(_OTHER_BYTES.get(b, b)) if b != 0x20 else " " for b in range(256))
 
 
 class ChunkTokenizer:
@@ -138,52 +138,41 @@ class ChunkTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _recalled(self, chunk: str) -> bool:
-        """Whether the ids of a chunk are known; those of the older generation come into the present one."""
-        if chunk in self.known:
-            return True
-        ids = self.older.get(chunk)
-        if ids is None:
-            return False
-        self.known[chunk] = ids
-        return True
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Remembers the ids of chunks: a word and the signs behind it have ids of their own, other chunks stay whole."""
-        known, tokenize, pack = self.known, self.tokenizer.model.tokenize, array("H" if self.dtype == "<u2" else "I")
-        other, composed = set(), []
+    def _learn(self, chunks: list[str]) -> None:
+        """Remembers the ids of chunks: words in lower case are pieces to the model, other chunks stay whole."""
+        known, tokenize, kind = self.known, self.tokenizer.model.tokenize, array("H" if self.dtype == "<u2" else "I")
+        words, other = [], []
         for chunk in chunks:
-            found = _WORD_AND_SIGNS.fullmatch(chunk)
-            if found is None:
-                other.add(chunk)
-                continue
-            word, signs = found.groups()
-            word = word.lower()
-            if not self._recalled(word):
-                letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-                known[word] = _packed(pack, [t.id for t in tokenize(letters)])
-            if signs and not self._recalled(signs):
-                other.add(signs)
-            if word != chunk:
-                composed.append((chunk, word, signs))
-        rest = list(other)
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[c] = _packed(pack, e.ids)
-        for chunk, word, signs in composed:
-            known[chunk] = known[word] + known[signs] if signs else known[word]
+            (words if _WORD.fullmatch(chunk) else other).append(chunk)
+        letters = " ".join(words).encode().decode("latin-1").translate(_BYTE_CHARACTERS).split(" ") if words else []
+        for word, piece in zip(words, letters, strict=True):
+            known[word] = _packed(kind, [t.id for t in tokenize(piece)])
+        for chunk, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[chunk] = _packed(kind, e.ids)
 
     def _remembered(self, chunks: pa.Array) -> pa.Array:
-        """Ids of each chunk, equal ones looked up once."""
+        """Ids of each chunk, equal ones looked up once; those of the older generation come into the present one."""
         places = pc.dictionary_encode(chunks)
-        different = places.dictionary.to_pylist()
-        self._learn({c for c in different if not self._recalled(c)})
-        return pa.array([self.known[c] for c in different], pa.large_binary()).take(places.indices)
+        different = places.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes several times as long
+        found = list(map(self.known.get, different))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        unknown = []
+        for i in missing:
+            ids = self.older.get(different[i])
+            if ids is None:
+                unknown.append(different[i])
+            else:
+                self.known[different[i]] = ids
+        self._learn(unknown)
+        for i in missing:
+            found[i] = self.known[different[i]]
+        return pa.array(found, pa.large_binary()).take(places.indices)
 
     def _ids(self, chunks: pa.Array) -> pa.Array:
-        """Ids of each chunk. Words of ASCII letters are remembered in lower case and without the signs behind them."""
-        apart = pc.match_substring_regex(chunks, _ASCII_WORD_AND_SIGNS)
-        words = pc.if_else(apart, pc.ascii_lower(pc.ascii_rtrim(chunks, _SIGNS)), chunks)
-        signs = pc.if_else(apart, pc.replace_substring_regex(chunks, r"\A[A-Za-z]+", ""), "")
+        """Ids of each chunk. Words of Latin letters are remembered in lower case and without the signs behind them."""
+        words, signs = pc.ascii_rtrim(chunks, _SIGNS), pc.utf8_ltrim(chunks, _LETTERS)
+        apart = pc.equal(pc.add(pc.binary_length(words), pc.binary_length(signs)), pc.binary_length(chunks))
+        words, signs = pc.if_else(apart, pc.utf8_lower(words), chunks), pc.if_else(apart, signs, "")
         return pc.binary_join_element_wise(self._remembered(words), self._remembered(signs), pa.scalar(b"", pa.large_binary()))
 
     def __call__(self, texts: pa.Array) -> pa.Array:

@@ -123,3 +123,14 @@ def test_memory_of_chunks_is_bounded(monkeypatch):
         assert two(pa.array([text])).to_pylist() == [two._whole(text)]
         assert "frequent" in two.known or "frequent" in two.older
         assert len(two.known) + len(two.older) <= 2 * (100 + 30)
+
+
+def test_accented_words_are_remembered_once():
+    """However a word with accents is written and whatever signs follow it, a tokenizer asks the model for it once."""
+    words = [f"{a}{b}{c}" for a in "àçéñöšž" for b in ("", "r", "ß", "øt") for c in ("e", "ié", "ůl", "aŵ")]
+    one = ChunkTokenizer(PACKING_VOCABULARY)
+    for text in (" ".join(words), " ".join(f"{w[0].upper()}{w[1:]}," for w in words), " ".join(f"{w[:-1]}{w[-1].upper()}.!" for w in words)):
+        assert one(pa.array([text])).to_pylist() == [one._whole(text)]
+    assert len(one.known) < len(words) + 10
+    mixed = ["Éa1é", "é-É,", "Ⱥb.", "ⱥb", "İe,", "éÉ", "ÉÉ'ÉÉ!", "É.É.", ".É", "中É,"]
+    assert one(pa.array(mixed)).to_pylist() == [one._whole(t) for t in mixed]
